@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import langid, media, passages, simhash_dedup
+from quillgraph.llm import decontamination, langid, media, passages, simhash_dedup
 from quillgraph.llm.scratch import table
 from quillgraph.sources.session import ship_package
 
@@ -43,5 +43,9 @@ def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.removal_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op1_simhash, op3_language, op6_gif, op7_suffix)}
+def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op1_simhash, op3_language, op6_gif, op7_suffix, op8_leaks)}
 ORACLES: dict[str, str] = {}
