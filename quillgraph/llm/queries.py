@@ -8,8 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontamination, langid, media, passages, simhash_dedup
-from quillgraph.llm.scratch import table
+from quillgraph.llm import decontamination, langid, media, passages, simhash_dedup, toxicity
+from quillgraph.llm.scratch import Scratch, table
 from quillgraph.sources.session import ship_package
 
 
@@ -47,5 +47,12 @@ def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op1_simhash, op3_language, op6_gif, op7_suffix, op8_leaks)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sample = Scratch(spark, "toxicity").keep(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic"))
+    rows = toxicity.scores(docs, *toxicity.train(sample))
+    return rows.select("doc_id", F.coalesce(langid.fold() == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op1_simhash, op3_language, op6_gif, op7_suffix, op8_leaks, op9_toxicity)}
 ORACLES: dict[str, str] = {}
