@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontamination, langid, media, passages, simhash_dedup, toxicity
+from quillgraph.llm import decontamination, langid, media, passages, pipeline_stages, simhash_dedup, toxicity
 from quillgraph.llm.scratch import Scratch, table
 from quillgraph.sources.session import ship_package
 
@@ -35,6 +35,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(langid.fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model, _ = pipeline_stages.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return rows.select("doc_id", "n_tokens", *[F.col("posteriors")[i].alias(f"p_{n}") for i, n in enumerate(model.names)], "rate", "copies")
+
+
 def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
@@ -54,5 +59,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(langid.fold() == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op1_simhash, op3_language, op6_gif, op7_suffix, op8_leaks, op9_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op1_simhash, op3_language, op4_mixing, op6_gif, op7_suffix, op8_leaks, op9_toxicity)}
 ORACLES: dict[str, str] = {}
