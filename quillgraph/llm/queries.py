@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontamination, langid, media, passages, pipeline_stages, simhash_dedup, toxicity
+from quillgraph.llm import chat, decontamination, langid, media, passages, pipeline_stages, simhash_dedup, toxicity, urls
 from quillgraph.llm.scratch import Scratch, table
 from quillgraph.sources.session import ship_package
 
@@ -28,6 +28,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: The rules of the query's contract.
+RULES = [urls.Rule("net/", True), urls.Rule("example.net/en/", False), urls.Rule("example.com/de/", True), urls.Rule("org/fr/", False)]
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return rows.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = docs.where((langid.fold() != 1) & F.col("lang").isNotNull()).select(F.col("doc_id").alias("id"), "text", "lang")
@@ -59,5 +68,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(langid.fold() == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op1_simhash, op3_language, op4_mixing, op6_gif, op7_suffix, op8_leaks, op9_toxicity)}
-ORACLES: dict[str, str] = {}
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table marks no preferences: conversation 2k is taken as chosen, 2k+1 as rejected."""
+    turns = table(spark, sf_dir, "conversations")
+    return chat.preference_pairs(turns.select(F.floor(F.col("conv_id") / 2).alias("pair"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op1_simhash, op2_urls, op3_language, op4_mixing, op6_gif, op7_suffix, op8_leaks, op9_toxicity, op10_chat)}
+ORACLES: dict[str, str] = {"op10_chat": chat.PAIRS_SQL}
