@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import chat, decontamination, langid, media, passages, pipeline_stages, simhash_dedup, toxicity, urls
+from quillgraph.llm import chat, decontamination, html_template, langid, media, passages, pipeline_stages, simhash_dedup, toxicity, urls
 from quillgraph.llm.scratch import Scratch, table
 from quillgraph.sources.session import ship_package
 
@@ -49,6 +49,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", *[F.col("posteriors")[i].alias(f"p_{n}") for i, n in enumerate(model.names)], "rate", "copies")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
@@ -74,5 +78,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(turns.select(F.floor(F.col("conv_id") / 2).alias("pair"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op1_simhash, op2_urls, op3_language, op4_mixing, op6_gif, op7_suffix, op8_leaks, op9_toxicity, op10_chat)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op1_simhash, op2_urls, op3_language, op4_mixing, op5_html, op6_gif, op7_suffix, op8_leaks, op9_toxicity, op10_chat)}
 ORACLES: dict[str, str] = {"op10_chat": chat.PAIRS_SQL}
