@@ -134,10 +134,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is their component's least; of rows that share it, one (the least by all columns).
+    """The documents whose id is their component's least; of rows that share it, an arbitrary one.
 
     Rows with a null id stay. Columns are unchanged.
     """
     kept = simhash_components(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    out = docs.join(kept, id_col, "left_semi")
+    out = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
     return out.unionByName(docs.where(F.col(id_col).isNull()))
