@@ -35,7 +35,7 @@ LENGTH = 200
 GRAM = 32
 SPAN = LENGTH - GRAM + 1  # places of an anchor in its window
 SEGMENT = 1 << 20  # window starts handled at once in a long text
-WIDEST = 256
+WIDEST = 8192  # classes of a bucket refined in one task, about 2 MB of text
 REFINED_AT_ONCE = 1 << 21  # bytes
 
 _rng = np.random.default_rng(7001)
