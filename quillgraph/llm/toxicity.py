@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,13 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.langid import bounded_sample, fold
 
-SAMPLE = 3000  # labelled documents of each label that are learned from, about
+SAMPLE = 2000  # labelled documents of each label that are learned from, about
 TERMS = 4000  # entries of the lexicon at most
-SUPPORT = 4  # different surroundings that a word needs; a stem needs twice as many
+SUPPORT = 4, 0.01  # different surroundings that a word needs: a number, and a share of the toxic sample; a stem needs twice as many
 RARER = 0.02  # how much of its rate in toxic documents a term may have in others
 STEM, FUZZY = 4, 5  # letters of the shortest stem, and of the shortest entry that may be misspelled
 WINDOW = 5  # words on either side
-CACHED = 200_000  # words remembered in each worker
+CACHED = 400_000  # words remembered in each worker
 THRESHOLD = 0.7
 
 TOKENS = re.compile(r"\w+|[\"“”„«»]")
@@ -77,7 +78,9 @@ class Lexicon:
         self.exact, self.roots = frozenset(words), frozenset(stems)
         self.lengths = sorted({len(s) for s in stems})
         self.trie: dict = {}
-        self.heads, self.tails = set(), set()
+        self.heads: dict[int, set[str]] = {}
+        self.tails: dict[int, set[str]] = {}
+        self.ends: set[tuple[int, int]] = set()
         for entry, whole in [(w, True) for w in self.words] + [(s, False) for s in self.stems]:
             if len(entry) < FUZZY:
                 continue
@@ -86,22 +89,27 @@ class Lexicon:
                 node = node.setdefault(letter, {})
             node[""] = node.get("", True) and whole  # a stem accepts any ending
             half = len(entry) // 2
-            self.heads.add(entry[:half])
-            self.tails.add(entry[half:])
-        self.cuts = sorted({len(h) for h in self.heads})
-        self.ends = sorted({(len(t), k) for t in self.tails for k in (len(t) - 1, len(t))})
-        self.known: dict[str, int | None] = {}
+            self.heads.setdefault(half, set()).add(entry[:half])
+            self.tails.setdefault(len(entry) - half, set()).add(entry[half:])
+            self.ends |= {(len(entry) - half, half + shift) for shift in (-1, 0, 1)}
+        self.seen: set[str] = set()
+        self.hits: dict[str, int] = {}
+
+    def matches(self, words: set[str]) -> set[str]:
+        """Those of the words that match; ``hits`` has their edits. Each word is matched once while it is remembered."""
+        if len(self.seen) > CACHED:
+            self.seen.clear()
+            self.hits.clear()
+        new = words - self.seen
+        for word in new:
+            edits = self.match(word)
+            if edits is not None:
+                self.hits[word] = edits
+        self.seen |= new
+        return words & self.hits.keys()
 
     def match(self, word: str) -> int | None:
         """Edits to the nearest entry, 0 or 1; None if there is none."""
-        if word in self.known:
-            return self.known[word]
-        if len(self.known) >= CACHED:
-            self.known.clear()
-        self.known[word] = found = self._match(word)
-        return found
-
-    def _match(self, word: str) -> int | None:
         if word in self.exact or any(word[:n] in self.roots for n in self.lengths):
             return 0
         if len(word) < FUZZY - 1 or word in self.exempt or not self._halves(word):
@@ -120,14 +128,18 @@ class Lexicon:
 
     def _halves(self, word: str) -> bool:
         """One edit leaves one half of an entry whole; that half is in its place or one off."""
-        if any(word[:n] in self.heads for n in self.cuts):
-            return True
-        return any(word[at : at + n] in self.tails for n, k in self.ends for at in (k - 1, k, k + 1) if at >= 0)
+        for n, heads in self.heads.items():
+            if word[:n] in heads:
+                return True
+        for n, at in self.ends:
+            if word[at : at + n] in self.tails[n]:
+                return True
+        return False
 
     def evidence(self, text: str | None) -> tuple[float, float]:
         """Weights of abusive and of quoted matches in a whole text; a misspelling weighs half."""
         text = (text or "").lower()
-        hits = {w for w in set(WORD.findall(text)) if self.match(w) is not None}
+        hits = self.matches(set(WORD.findall(text)))
         if not hits:
             return 0.0, 0.0
         tokens = TOKENS.findall(text)
@@ -137,7 +149,7 @@ class Lexicon:
             if token in QUOTES:
                 open_ += 1
             elif token in hits:
-                weight = 0.5 ** self.match(token)
+                weight = 0.5 ** self.hits[token]
                 around = tokens[max(0, at - WINDOW) : at + WINDOW + 1]
                 marked = open_ % 2 == 1 and any(t in QUOTES for t in tokens[at + 1 : at + 1 + 4 * WINDOW])
                 if marked or any(t in REPORTING for t in around):
@@ -155,9 +167,9 @@ def _usages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = WORD.findall((text or "").lower())
             seen = {w: (a, b) for a, w, b in zip(["", *own[:-1]], own, [*own[1:], ""], strict=True)}
             words += seen
-            beside += [f"{a} {b}" for a, b in seen.values()]
+            beside += [zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in seen.values()]
             labels += [label] * len(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(beside, pa.string()), pa.array(labels, pa.int32())], names=["word", "beside", "label"])
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(beside, pa.int64()), pa.array(labels, pa.int32())], names=["word", "beside", "label"])
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -178,15 +190,16 @@ def _score(w: np.ndarray, abuse: float, quoted: float) -> float:
 
 def train(rows: DataFrame) -> tuple[Lexicon, np.ndarray]:
     """From ``(id, text, label)`` rows with labels 0 and 1: the lexicon and the curve."""
-    used = rows.select(F.col("label").cast("int"), "text").mapInArrow(_usages, "word string, beside string, label int").where(F.length("word") <= 64)
+    used = rows.select(F.col("label").cast("int"), "text").mapInArrow(_usages, "word string, beside long, label int").where(F.length("word") <= 64)
     stats = used.groupBy("word").agg(F.countDistinct(F.when(F.col("label") == 1, F.col("beside"))).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
     totals = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     rate = RARER * totals.get(0, 1) / max(1, totals.get(1, 0))
+    support = max(SUPPORT[0], SUPPORT[1] * totals.get(1, 0))
     best = lambda df, key: [r[0] for r in df.orderBy(F.desc("pos"), key).limit(TERMS).collect()]
-    words = best(stats.where((F.col("pos") >= SUPPORT) & (F.col("neg") <= rate * F.col("pos"))), "word")
+    words = best(stats.where((F.col("pos") >= support) & (F.col("neg") <= rate * F.col("pos"))), "word")
     prefixes = stats.select("word", "pos", "neg", F.explode(F.sequence(F.lit(STEM), F.greatest(F.length("word"), F.lit(STEM)))).alias("n")).where(F.length("word") >= F.col("n"))
     stems = prefixes.groupBy(F.expr("substring(word, 1, n)").alias("stem")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count("*").alias("n"))
-    stems = [(r[0], r[1]) for r in stems.where((F.col("pos") >= 2 * SUPPORT) & (F.col("neg") <= rate * F.col("pos")) & (F.col("n") >= 3)).orderBy(F.desc("pos"), "stem").limit(TERMS).collect()]
+    stems = [(r[0], r[1]) for r in stems.where((F.col("pos") >= 2 * support) & (F.col("neg") <= rate * F.col("pos")) & (F.col("n") >= 3)).orderBy(F.desc("pos"), "stem").limit(TERMS).collect()]
     weight = dict(stems)
     # The longest stem that loses hardly any support to its extensions stands for them.
     top = [s for s in weight if not any(s[:n] in weight for n in range(STEM, len(s)))]
@@ -199,7 +212,7 @@ def train(rows: DataFrame) -> tuple[Lexicon, np.ndarray]:
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [w for w in batch.column(0).to_pylist() if lexicon.match(w)]
+            found = [w for w in batch.column(0).to_pylist() if lexicon.match(w) == 1]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
 
     exempt = stats.where(F.col("neg") > rate * F.col("pos")).select("word").mapInArrow(near, "word string").orderBy("word").limit(TERMS)
