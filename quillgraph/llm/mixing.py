@@ -53,7 +53,7 @@ class Domains:
         """On the grid; each row's greatest entry takes what rounding leaves."""
         z = x @ self.weights + self.bias
         p = np.exp(z - z.max(1, keepdims=True))
-        p = np.rint(p / p.sum(1, keepdims=True) * GRID)
+        p = np.rint(p / p.sum(1, keepdims=True) * GRID).astype(np.float64)
         p[np.arange(len(p)), p.argmax(1)] += GRID - p.sum(1)
         return p / GRID
 

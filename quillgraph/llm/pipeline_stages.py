@@ -34,9 +34,15 @@ def mixed(docs: DataFrame, labels: DataFrame, carry: list[str]) -> tuple[DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language; the others (no text, no letters, no likeness) go."""
+    """Documents in some language; the others (no text, no letters, no likeness) go.
+
+    Where no document has a language to learn from, all texts with letters stay.
+    """
     learn = docs.where((langid.fold() != 1) & F.col("lang").isNotNull()).select(F.col("doc_id").alias("id"), "text", "lang")
-    rows = langid.predict(docs, langid.train(learn), docs.columns)
+    model = langid.train(learn)
+    if not model:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    rows = langid.predict(docs, model, docs.columns)
     return rows.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
 
 
