@@ -22,8 +22,8 @@ def decode_spans(tokens: Column, labels: Column) -> Column:
     """Entities of BIOES labels.
 
     B opens a span and closes an open one; I and E extend an open span of their
-    type, E closing it, and are ignored otherwise; S is a span of its own; any
-    other label closes.
+    type, E closing it, and are ignored otherwise; S is a span of its own; O
+    closes; other labels are ignored.
     """
     none = F.lit(None).cast("string")
     start = F.struct(F.array().cast(ENTITIES).alias("done"), none.alias("entity"), none.alias("type"))
@@ -44,8 +44,8 @@ def decode_spans(tokens: Column, labels: Column) -> Column:
             .when(kind == "S-", state(F.array_append(closed(s), single), none, none))
             .when((kind == "I-") & extends, state(s["done"], joined, s["type"]))
             .when((kind == "E-") & extends, state(F.array_append(s["done"], F.struct(joined.alias("entity"), type_.alias("type"))), none, none))
-            .when(kind.isin("I-", "E-"), s)
-            .otherwise(state(closed(s), none, none))
+            .when(x["label"] == "O", state(closed(s), none, none))
+            .otherwise(s)
         )
 
     return F.aggregate(zipped(tokens, labels), start, step, closed)
@@ -100,19 +100,20 @@ def attention_mask(ids: Column, size: Column) -> Column:
     return padded(F.transform(ids, lambda _: F.lit(1)), size)
 
 
-def viterbi(emissions: Column, transitions: list[list[float]], start: int | None = None, stop: int | None = None) -> Column:
+def _ends(size: int, scores: list[float] | None) -> list[Column]:
+    return [F.lit(float(scores[i]) if scores else 0.0) for i in range(size)]
+
+
+def viterbi(emissions: Column, transitions: list[list[float]], start: list[float] | None = None, end: list[float] | None = None) -> Column:
     """Best tag sequence for an array of per-tag scores; transitions are [from][to].
 
-    ``start`` and ``stop`` name tags whose transitions open and close a path.
-    Of equal scores the lesser tag wins. Empty input gives an empty path.
+    ``start`` and ``end`` score the first and last tag. Of equal scores the lesser
+    tag wins. Empty input gives an empty path.
     """
     tags = range(len(transitions))
-    score = lambda i, j: F.lit(float(transitions[i][j]))
+    opens, closes = _ends(len(tags), start), _ends(len(tags), end)
     path = "array<struct<score:double,path:array<int>>>"
 
-    def first(e: Column) -> Column:
-        return F.array(*[F.struct(((score(start, j) if start is not None else F.lit(0.0)) + e[j]).alias("score"), F.array(F.lit(j)).alias("path")) for j in tags])
-
     def best(options: list[Column]) -> Column:
         out = options[0]
         for o in options[1:]:
@@ -122,35 +123,37 @@ def viterbi(emissions: Column, transitions: list[list[float]], start: int | None
     def step(s: Column, e: Column) -> Column:
         new = []
         for j in tags:
-            top = best([F.struct((s[i]["score"] + score(i, j)).alias("score"), s[i]["path"].alias("path")) for i in tags])
+            top = best([F.struct((s[i]["score"] + F.lit(float(transitions[i][j]))).alias("score"), s[i]["path"].alias("path")) for i in tags])
             new.append(F.struct((top["score"] + e[j]).alias("score"), F.array_append(top["path"], F.lit(j)).alias("path")))
         return F.array(*new)
 
-    def finish(s: Column) -> Column:
-        last = [F.struct((s[i]["score"] + (score(i, stop) if stop is not None else 0.0)).alias("score"), s[i]["path"].alias("path")) for i in tags]
-        return F.when(F.size(s) > 0, best(last)["path"]).otherwise(F.array().cast("array<int>"))
-
-    return F.aggregate(emissions, F.array().cast(path), lambda s, e: F.when(F.size(s) == 0, first(e)).otherwise(step(s, e)), finish)
+    first = lambda e: F.array(*[F.struct((opens[j] + e[j]).alias("score"), F.array(F.lit(j)).alias("path")) for j in tags])
+    last = lambda s: best([F.struct((s[i]["score"] + closes[i]).alias("score"), s[i]["path"].alias("path")) for i in tags])["path"]
+    return F.aggregate(emissions, F.array().cast(path), lambda s, e: F.when(F.size(s) == 0, first(e)).otherwise(step(s, e)), lambda s: F.when(F.size(s) > 0, last(s)).otherwise(F.array().cast("array<int>")))
 
 
-def path_score(emissions: Column, path: Column, transitions: list[list[float]]) -> Column:
+def path_score(emissions: Column, path: Column, transitions: list[list[float]], start: list[float] | None = None, end: list[float] | None = None) -> Column:
     """Emissions and transitions along a given path."""
     flat = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in transitions])
     own = F.zip_with(emissions, path, lambda e, j: F.get(e, j))
     moves = F.transform(F.slice(path, F.lit(2), F.greatest(F.size(path) - 1, F.lit(0))), lambda j, i: F.get(F.get(flat, F.get(path, i)), j))
-    return F.aggregate(F.concat(own, moves), F.lit(0.0), lambda s, x: s + x)
+    n = len(transitions)
+    ends = F.when(F.size(path) > 0, F.get(F.array(*_ends(n, start)), F.get(path, F.lit(0))) + F.get(F.array(*_ends(n, end)), F.element_at(path, F.lit(-1)))).otherwise(0.0)
+    return F.aggregate(F.concat(own, moves), F.lit(0.0), lambda s, x: s + x) + ends
 
 
-def log_partition(emissions: Column, transitions: list[list[float]]) -> Column:
-    """Log of the summed exponentials of all paths' scores."""
+def log_partition(emissions: Column, transitions: list[list[float]], start: list[float] | None = None, end: list[float] | None = None) -> Column:
+    """Log of the summed exponentials of all paths' scores; a path's loss is this less its score."""
     tags = range(len(transitions))
+    opens, closes = _ends(len(tags), start), _ends(len(tags), end)
 
     def log_sum(xs: list[Column]) -> Column:
         top = F.greatest(*xs) if len(xs) > 1 else xs[0]
         return top + F.log(sum((F.exp(x - top) for x in xs), F.lit(0.0)))
 
+    first = lambda e: F.array(*[opens[j] + e[j] for j in tags])
     step = lambda s, e: F.array(*[log_sum([s[i] + F.lit(float(transitions[i][j])) for i in tags]) + e[j] for j in tags])
-    return F.aggregate(emissions, F.array().cast("array<double>"), lambda s, e: F.when(F.size(s) == 0, F.transform(e, lambda x: x.cast("double"))).otherwise(step(s, e)), lambda s: F.when(F.size(s) > 0, log_sum([s[i] for i in tags])).otherwise(F.lit(0.0)))
+    return F.aggregate(emissions, F.array().cast("array<double>"), lambda s, e: F.when(F.size(s) == 0, first(e)).otherwise(step(s, e)), lambda s: F.when(F.size(s) > 0, log_sum([s[i] + closes[i] for i in tags])).otherwise(F.lit(0.0)))
 
 
 def palette(types: list[str]) -> dict[str, str]:

@@ -99,7 +99,7 @@ def _resolved(relations: DataFrame, uris: DataFrame) -> DataFrame:
 
 
 def jsonld_nodes(concepts: DataFrame, iri: str, classes: tuple[str, ...] = CLASSES_5) -> DataFrame:
-    """``(id, node_no, key, values)`` rows; values are structs (value, is_ref). Parents resolve in any order, the last row of an id counting."""
+    """``(id, key, values)`` rows; values are structs (value, is_ref). Parents resolve in any order, the last row of an id counting."""
     base = iri.rstrip("#")
     node = lambda name: F.concat(F.lit(base + "#"), short_id(name))
     rows = concepts.where(filled(F.col("id")).isNotNull()).withColumns({"id": F.trim("id"), "name": F.trim(F.coalesce("name", F.lit(""))), "type": F.trim(F.coalesce("type", F.lit(""))), "parent": filled(F.col("parent"))})
@@ -107,10 +107,10 @@ def jsonld_nodes(concepts: DataFrame, iri: str, classes: tuple[str, ...] = CLASS
     names = rows.groupBy(F.col("id").alias("parent")).agg(F.max_by("name", "row_no").alias("parent_name"))
     value = lambda v, ref=False: F.array(F.struct(v.alias("value"), F.lit(ref).alias("is_ref")))
     key = lambda k: F.lit(k).alias("key")
-    at = [F.col("uri").alias("id"), F.col("row_no").alias("node_no")]
+    at = [F.col("uri").alias("id")]
     props = _property_rows(rows)
     parts = [
-        concepts.sparkSession.range(1).select(F.lit(base).alias("id"), F.lit(-1).cast("long").alias("node_no"), key("@type"), value(F.lit(f"{OWL}Ontology")).alias("values")),
+        concepts.sparkSession.range(1).select(F.lit(base).alias("id"), key("@type"), value(F.lit(f"{OWL}Ontology")).alias("values")),
         rows.select(*at, key("@type"), value(F.when(F.col("is_class"), F.lit(f"{OWL}Class")).otherwise(F.lit(f"{OWL}NamedIndividual"))).alias("values")),
         rows.select(*at, key(f"{RDFS}label"), value(F.col("name")).alias("values")),
         props.where(F.col("key") == COMMENT_KEY).select(*at, key(f"{RDFS}comment"), value(F.col("value")).alias("values")),

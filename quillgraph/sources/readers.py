@@ -45,6 +45,11 @@ def headed_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.option("pathGlobFilter", "*.csv").csv(path, header=True, multiLine=True, escape='"', nullValue="")
 
 
+def row_number() -> Column:
+    """Orders rows as they stand: by file, and inside it (such files are not split)."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+
+
 def _props(df: DataFrame, core: tuple[str, ...]) -> Column:
     rest = [c for c in df.columns if c not in core]
     pairs = F.array(*[F.struct(F.lit(c).alias("k"), F.col(f"`{c}`").alias("v")) for c in rest]) if rest else F.array().cast("array<struct<k:string,v:string>>")
@@ -61,7 +66,7 @@ def concept_table(spark: SparkSession, path: str | list[str], strict_headers: bo
     core = (":ID", "name", "parent", *typed)
     type_ = F.coalesce(*[F.col(f"`{c}`") for c in typed]) if typed else F.lit(None).cast("string")
     parent = F.col("parent") if "parent" in df.columns else F.lit(None).cast("string")
-    return df.select(F.monotonically_increasing_id().alias("row_no"), F.col("`:ID`").alias("id"), "name", type_.alias("type"), parent.alias("parent"), _props(df, core).alias("props"))
+    return df.select(row_number().alias("row_no"), F.col("`:ID`").alias("id"), "name", type_.alias("type"), parent.alias("parent"), _props(df, core).alias("props"))
 
 
 def relation_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -70,7 +75,7 @@ def relation_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
     types = [c for c in (":TYPE", "type") if c in df.columns]
     name = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     core = (*RELATION_CORE, *types)
-    return df.select(F.monotonically_increasing_id().alias("row_no"), F.col("`:START_ID`").alias("source"), F.col("`:END_ID`").alias("target"), F.coalesce(*[F.col(f"`{c}`") for c in types]).alias("type"), name("_o_source_").alias("source_name"), name("_o_target_").alias("target_name"), _props(df, core).alias("props"))
+    return df.select(row_number().alias("row_no"), F.col("`:START_ID`").alias("source"), F.col("`:END_ID`").alias("target"), F.coalesce(*[F.col(f"`{c}`") for c in types]).alias("type"), name("_o_source_").alias("source_name"), name("_o_target_").alias("target_name"), _props(df, core).alias("props"))
 
 
 def property_label(header: Column) -> Column:
@@ -136,10 +141,10 @@ def graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def jsonld_rows(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, node_no, key, values)`` of a saved JSON-LD array."""
+    """``(id, key, values)`` of a saved JSON-LD array."""
     whole = spark.read.text(path, wholetext=True)
-    nodes = whole.select(F.posexplode(F.from_json("value", "array<map<string,string>>")).alias("node_no", "n"))
-    members = nodes.select(F.col("n")["@id"].alias("id"), "node_no", F.explode("n").alias("key", "v")).where("key <> '@id'")
+    nodes = whole.select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("n"))
+    members = nodes.select(F.col("n")["@id"].alias("id"), F.explode("n").alias("key", "v")).where("key <> '@id'")
     items = F.coalesce(F.from_json("v", "array<string>"), F.array("v"))
     ref = lambda x: F.get_json_object(x, "$.@id")
-    return members.select("id", "node_no", "key", F.transform(items, lambda x: F.struct(F.coalesce(F.when(F.startswith(x, F.lit("{")), ref(x)), x).alias("value"), F.startswith(x, F.lit("{")).alias("is_ref"))).alias("values"))
+    return members.select("id", "key", F.transform(items, lambda x: F.struct(F.coalesce(F.when(F.startswith(x, F.lit("{")), ref(x)), x).alias("value"), F.startswith(x, F.lit("{")).alias("is_ref"))).alias("values"))

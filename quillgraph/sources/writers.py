@@ -14,7 +14,9 @@ def property_keys(df: DataFrame) -> list[str]:
 
 
 def wide_concepts(concepts: DataFrame) -> DataFrame:
+    """A column for each property; rows that come from notes keep their order, which later readers go by."""
     keys = property_keys(concepts)
+    concepts = concepts.orderBy("file", "position") if {"file", "position"} <= set(concepts.columns) else concepts
     core = [F.col("id").alias(":ID"), F.col("name"), F.col("type"), F.coalesce("parent", F.lit("")).alias("parent")]
     return concepts.select(*core, *[F.col("props")[k].alias(f"{k}:LABEL") for k in keys])
 
