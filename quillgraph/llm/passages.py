@@ -36,7 +36,7 @@ GRAM = 32
 SPAN = LENGTH - GRAM + 1  # places of an anchor in its window
 SEGMENT = 1 << 20  # window starts handled at once in a long text
 WIDEST = 8192  # classes of a bucket refined in one task, about 2 MB of text
-REFINED_AT_ONCE = 1 << 21  # bytes
+REFINED_AT_ONCE = 1 << 20  # bytes
 
 _rng = np.random.default_rng(7001)
 SIGNS = _rng.integers(1, 1 << 63, (2, 256), np.uint64)
@@ -94,38 +94,59 @@ def anchors(text: bytes) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, *[np.int64] * 3))
 
 
+def _gram_hashes(data: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(data), np.uint64)
+    for at in range(0, len(data) - GRAM + 1, SEGMENT):
+        part = data[at : at + SEGMENT + GRAM - 1]
+        place = np.arange(len(part) - GRAM + 1)
+        out[at : at + len(place)] = Hashes(part, 0).of(place, place + GRAM)
+    return out
+
+
+def _order(key: np.ndarray) -> np.ndarray:
+    """An order that brings equal keys together; a plain sort of keys with their places, if that can tell keys apart."""
+    bits = np.uint64(max(1, len(key) - 1).bit_length())
+    place = np.arange(len(key), dtype=np.uint64)
+    if not len(key) or int(key.max()) >> 64 - int(bits) == 0:
+        packed = key << bits | place
+    else:
+        packed = key >> bits << bits | place
+    packed.sort()
+    order = (packed & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
+    ranked, shown = key[order], packed >> bits
+    if ((ranked[1:] != ranked[:-1]) & (shown[1:] == shown[:-1])).any():
+        return np.argsort(key)
+    return order
+
+
 def refine(data: np.ndarray, starts: np.ndarray, text_of: np.ndarray) -> np.ndarray:
     """Whether the LENGTH bytes at each start also stand at another start.
 
-    ``data`` holds texts end to end, ``text_of`` the text of each byte. Bucket
-    identifiers of depth 8 are the bytes themselves; each depth doubles by
-    pairing identifiers, and only suffixes in buckets of two or more go on. A
-    suffix never reaches into the next text.
+    ``data`` holds texts end to end, ``text_of`` the number of each byte's text. Bucket
+    identifiers of depth GRAM come of hashes; each depth doubles by pairing them,
+    and only suffixes in buckets of two or more go on. A suffix never reaches into
+    the next text.
     """
     size = len(data)
-    if size < LENGTH:
-        return np.zeros(len(starts), bool)
-    places = np.arange(size)
-    bucket = places.copy()  # a bucket's identifier is one of its places
-    live = np.flatnonzero(text_of[7:] == text_of[:-7])
-    grams = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(np.uint64).ravel()
-    key, depth = grams[live], 8
-    while True:
-        order = np.argsort(key)
+    bucket = np.arange(size, dtype=np.int32)  # a bucket's identifier is one of its places
+    last = np.flatnonzero(np.r_[text_of[1:] != text_of[:-1], True]) if size else bucket
+    room = (last + 1)[text_of] - bucket  # bytes to the end of the text
+    live, depth = np.flatnonzero(room >= GRAM), GRAM
+    key = _gram_hashes(data)[live]
+    while len(live):
+        order = _order(key)
         ranked, live = key[order], live[order]
-        first = np.r_[True, ranked[1:] != ranked[:-1]] if len(live) else np.zeros(0, bool)
-        bucket[live] = live[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        live = live[~(first & np.r_[first[1:], True])]
-        if depth == LENGTH or not len(live):
-            break
+        first = np.r_[True, ranked[1:] != ranked[:-1]]
+        bucket[live] = live[first][np.cumsum(first, dtype=np.int32) - 1]
+        going = np.zeros(size, bool)
+        going[live[~(first & np.r_[first[1:], True])]] = True
+        if depth == LENGTH:
+            return going[starts]
         step = min(depth, LENGTH - depth)
         depth += step
-        live = live[live + depth <= size]
-        live = live[text_of[live + depth - 1] == text_of[live]]
-        key = bucket[live] * size + bucket[live + step]
-    repeated = np.zeros(size, bool)
-    repeated[live] = True
-    return repeated[starts]
+        live = np.flatnonzero(going & (room >= depth))
+        key = bucket[live].astype(np.uint64) * np.uint64(size) + bucket[live + step].astype(np.uint64)
+    return np.zeros(len(starts), bool)
 
 
 def _runs(low: np.ndarray, flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
