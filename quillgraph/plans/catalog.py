@@ -527,6 +527,113 @@ def paired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.file_pairs(files)[0].select("x")
 
 
+# More scalars and rows
+
+
+@query("SELECT p_partkey, p_brand || ' ' || p_type || ' ' || p_name AS phrase FROM part")
+def relation_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", text.relation_phrase(F.col("p_brand"), F.col("p_type"), F.col("p_name")).alias("phrase"))
+
+
+@query("""SELECT c_nationkey, greatest(12.0, n / 5) AS figure, round(greatest(500.0, 3000 / (1 + n / 20)), 6) AS node, round(greatest(5.0, 10 / (1 + n / 50)), 6) AS font, round(0.5 / sqrt(1 + n / 100), 6) AS k, (50 + n // 10)::BIGINT AS iterations
+FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1)""")
+def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(writers.layout(F.count("*")).alias("l"))
+    return rows.select("c_nationkey", F.col("l.figure").alias("figure"), *[F.round(f"l.{c}", 6).alias(c) for c in ("node", "font", "k")], big("l.iterations").alias("iterations"))
+
+
+@query("""WITH t AS (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS token, generate_subscripts(string_split(p_type, ' '), 1) AS i FROM part),
+f AS (SELECT token, min(p_partkey * 100 + i) AS first FROM t GROUP BY 1 HAVING count(*) >= 20), v AS (SELECT token, row_number() OVER (ORDER BY first, token) + 1 AS id FROM f)
+SELECT p_partkey, string_agg(coalesce(id, 1)::VARCHAR, ',' ORDER BY i) AS ids FROM t LEFT JOIN v USING (token) GROUP BY 1""")
+def encoded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sent_id"), F.split("p_type", " ").alias("tokens"))
+    flat = rows.select("sent_id", F.posexplode("tokens").alias("i", "token"))
+    vocab = sequences.vocabulary(sequences.frequencies(flat.select("token", (F.col("sent_id") * 100 + F.col("i") + 1).alias("pos"))), 20)
+    return sequences.encoded(rows, vocab).select(F.col("sent_id").alias("p_partkey"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+_CASES = [(list("abcd"), ["B-X", "E-X", "O", "S-Y"]), (list("abc"), ["B-X", "I-Y", "O", "O"]), (list("abcd"), ["S-X", "B-Z"])]
+
+
+def _cases() -> tuple[Column, Column]:
+    k, strings = F.col("o_orderkey") % 3, lambda xs: F.array(*map(F.lit, xs))
+    pick = lambda i: F.when(k == 0, strings(_CASES[0][i])).when(k == 1, strings(_CASES[1][i])).otherwise(strings(_CASES[2][i]))
+    return pick(0), pick(1)
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '[a:B-X] [b:E-X] c[d:S-Y] ' WHEN 1 THEN '[a:B-X] [b:I-Y] c' ELSE '[a:S-X] [b:B-Z] ' END AS shown FROM orders")
+def tagged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", labels.tagged_text(*_cases()).alias("shown"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'X:ab|Y:d' WHEN 1 THEN 'X:a|Y:b' ELSE 'X:a|Z:b' END AS runs FROM orders")
+def type_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = F.transform(labels.type_runs(*_cases()), lambda r: F.concat(r["type"], F.lit(":"), r["text"]))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(runs, "|").alias("runs"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'B-X,E-X,O,B-X,E-X,S-Y' ELSE 'O,O,O,O,O,O' END AS labels FROM orders")
+def entity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = lambda e, t: F.struct(F.lit(e).alias("entity"), F.lit(t).alias("type"))
+    entities = F.when(F.col("o_orderkey") % 2 == 0, F.array(pair("ab", "X"), pair("d", "Y"))).otherwise(F.array(pair("zz", "X")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(labels.labels_of_entities(F.lit("abcabd"), entities), ",").alias("labels"))
+
+
+@query("""WITH l AS (SELECT user_id, event_id, event_type = 'purchase' AS blank, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events)
+SELECT user_id::VARCHAR AS file, s::BIGINT AS sent_id, string_agg('t' || event_id, ' ' ORDER BY event_id) AS tokens FROM l WHERE NOT blank GROUP BY 1, 2""")
+def conll_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.when(F.col("event_type") == "purchase", "").otherwise(F.concat(F.lit("t"), "event_id", F.lit(" O")))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("file"), F.col("event_id").alias("line_no"), line.alias("line"))
+    return sequences.conll_sentences(rows).select("file", "sent_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("SELECT page_id::VARCHAR AS url, CASE WHEN page_id % 3 = 0 THEN 'first' WHEN page_id % 2 = 0 THEN 'second' END AS html FROM pages WHERE page_id % 3 = 0 OR page_id % 2 = 0")
+def first_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("string").alias("url"))
+    source = lambda n, name: rows.where(F.col("page_id") % n == 0).select("url", F.lit(name).alias("html"))
+    return pages.first_available(source(3, "first"), source(2, "second"))
+
+
+@query("SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS reply FROM conversations GROUP BY 1")
+def joined_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.replies(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text").select("conv_id", F.md5("value").alias("reply"))
+
+
+@query("""WITH m AS (SELECT doc_id, replace(text, ' the ', '![x](y' || chr(10) || chr(10) || 'z)') AS t FROM documents) SELECT doc_id, md5(replace(t, '![x](y' || chr(10) || chr(10) || 'z)', chr(10) || '[图片]' || chr(10))) AS replaced FROM m""")
+def image_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no image marks; a common word stands in for one over three lines."""
+    marked = F.replace("text", F.lit(" the "), F.lit("![x](y\n\nz)"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.replace_patterns(marked, text.IMAGE_PATTERNS, text.IMAGE)).alias("replaced"))
+
+
+@query(_LINKS + "SELECT page_id, pos::BIGINT AS pos, CASE WHEN href[1:4] = 'http' THEN href ELSE 'https://h' || href END AS url, CASE WHEN pos % 2 = 0 THEN '    ' || text ELSE text END AS entry FROM links")
+def reference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pages.links(table(spark, sf_dir, "pages"), ["page_id"])
+    return rows.select("page_id", big("pos").alias("pos"), ids.reference_url(F.col("href"), "https://h").alias("url"), text.catalog_entry(F.col("text"), 2 - F.col("pos") % 2).alias("entry"))
+
+
+@query("SELECT o_custkey AS id FROM orders UNION SELECT c_custkey FROM customer")
+def vertices_with_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_custkey").alias("dst"))
+    return graph.with_stubs(edges, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
+
+
+@query("""SELECT 'n' || s_suppkey % 25 AS ":START_ID", 'n' || (s_nationkey + 1) AS ":END_ID", CASE WHEN s_suppkey % 2 = 0 THEN 'next to' ELSE 'RELATED' END AS ":TYPE", s_name AS "_o_source_", 'x' AS "_o_target_", s_nationkey::VARCHAR AS "at:LABEL" FROM supplier""")
+def wide_relation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), F.col("s_suppkey") % 25).alias("source"), F.concat(F.lit("n"), F.col("s_nationkey") + 1).alias("target"), F.when(F.col("s_suppkey") % 2 == 0, "next to").alias("type"), F.col("s_name").alias("source_name"), F.lit("x").alias("target_name"), F.create_map(F.lit("at"), F.col("s_nationkey").cast("string")).alias("props"))
+    return writers.wide_relations(rows)
+
+
+@query("SELECT c_custkey AS n, (row_number() OVER (ORDER BY c_mktsegment, c_custkey) - 1)::BIGINT AS id FROM customer")
+def dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.dense_rank_ids(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_custkey"], 0).select(F.col("c_custkey").alias("n"), big("id").alias("id"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE v) AS n_val FROM (SELECT row_number() OVER (ORDER BY doc_id) <= floor((SELECT count(*) FROM documents) * 0.1) AS v FROM documents)")
+def shuffled_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.shuffled_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").agg(F.count("*").alias("n"), F.count_if("is_val").alias("n_val"))
+
+
 def shipped(f: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
