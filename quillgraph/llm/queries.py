@@ -75,7 +75,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table marks no preferences: conversation 2k is taken as chosen, 2k+1 as rejected."""
     turns = table(spark, sf_dir, "conversations")
-    return chat.preference_pairs(turns.select(F.floor(F.col("conv_id") / 2).alias("pair"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text"))
+    return chat.preference_pairs(turns.select(F.shiftright("conv_id", 1).alias("pair"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op1_simhash, op2_urls, op3_language, op4_mixing, op5_html, op6_gif, op7_suffix, op8_leaks, op9_toxicity, op10_chat)}
