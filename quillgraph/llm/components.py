@@ -1,9 +1,10 @@
 """Connected components by alternating large-star and small-star steps.
 
 Every step is a minimum per vertex (partly aggregated before its shuffle) and a
-sort-merge join that adaptive execution may split, so that a hub with very many
-neighbours is never gathered in one task. Each round is written to the shared
-folder; rounds grow with the logarithm of the longest chain.
+join with it. The minima are written before they are joined, so that both sides
+of the join are plain shuffles, which adaptive execution can split: a hub with
+very many neighbours is never gathered in one task. Each round is written to the
+shared folder; rounds grow with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -14,30 +15,33 @@ from pyspark.sql import functions as F
 from quillgraph.llm.scratch import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    out = scratch.keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+    scratch.drop(edges, least)
+    return out
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    least = scratch.keep(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    out = scratch.keep(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+    scratch.drop(edges, least)
+    return out
 
 
 def star_forest(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges ``(u, v)`` of longs with ``u > v`` to ``(u, v)`` with v the least vertex of u's component.
 
-    The least vertex itself has no row. Self-loops and repeated edges may not occur twice.
+    The least vertex itself has no row. There must be no self-loops.
     """
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     now = scratch.keep(edges, "edges")
     seen = mark(now)
     while seen[0]:
-        new = scratch.keep(_small_star(_large_star(now)), "stars")
-        scratch.drop(now)
-        now, before, seen = new, seen, mark(new)
+        now = _small_star(_large_star(now, scratch), scratch)
+        before, seen = seen, mark(now)
         if seen == before:
             break
     return now

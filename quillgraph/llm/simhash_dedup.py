@@ -127,7 +127,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = rows.groupBy("fp").agg(F.min("doc").alias("least"))
     stars = star_forest(fingerprint_links(least.select("fp")), scratch)
     rooted = least.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     class_of = scratch.keep(rooted.join(named, "root").select("fp", "component_id"), "classes")
     hex_ = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return rows.join(class_of, "fp").select(F.col("doc").alias(id_col), hex_.alias("fingerprint"), "component_id")
