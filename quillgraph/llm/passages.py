@@ -252,12 +252,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def repeated_spans(packed: DataFrame, scratch: Scratch) -> DataFrame:
     """``(row, spans)`` for each text of ``(row, packed)`` with repeats: byte ranges, not yet merged."""
     seen = scratch.keep(packed.mapInArrow(_anchor_rows, "gram long, around long, row long, low int, high int"), "anchors")
-    buckets = seen.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b"))
-    shared = scratch.keep(seen.join(buckets.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed")), "gram"), "shared")
+    counts = seen.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b"))
+    # Counts are written before they are joined: a join whose sides are plain shuffles can split a bucket that holds very many rows.
+    buckets = scratch.keep(counts.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed")), "buckets")
+    shared = scratch.keep(seen.join(buckets, "gram"), "shared")
     scratch.drop(seen)
     mixed = shared.where("mixed").drop("mixed")
-    classes = mixed.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min("row").alias("first"))
-    wide = classes.groupBy("gram").agg((F.count("*") > WIDEST).alias("wide"))
+    classes = scratch.keep(mixed.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min("row").alias("first")), "members")
+    wide = scratch.keep(classes.groupBy("gram").agg((F.count("*") > WIDEST).alias("wide")), "wide")
     placed = scratch.keep(mixed.join(classes.join(wide, "gram"), ["gram", "around"]), "classes")
     whole = shared.where("not mixed").select("row", "low", "high").union(placed.where("n > 1").select("row", "low", "high")).select("row", F.col("low").cast("long").alias("start"), (F.col("high") + LENGTH).cast("long").alias("end"))
     wanted = placed.where("n = 1 or row = first").groupBy("row").agg(F.collect_list(F.struct("gram", "wide", "low", "high", (F.col("n") == 1).alias("open"))).alias("places"))
