@@ -24,6 +24,7 @@ from quillgraph.llm.scratch import Scratch
 BUCKETS = 4096  # hashed four-byte strings
 GRID = 255
 STEPS = 40
+ROUNDS = 150  # of the classifier's descent
 CLOSE = 1e-4  # of all tokens, summed over domains
 PART = 1 << 20  # bytes handled at once
 
@@ -76,21 +77,27 @@ def train(rows: DataFrame, shares: dict[str, int]) -> Domains:
     if not got.num_rows:
         return Domains(names, w, prior)
     label = np.array([names.index(v) for v in got.column(0).to_pylist()])
-    x = np.stack([np.frombuffer(v, np.float16) for v in got.column(1).to_pylist()]).astype(np.float32)
+    x = np.empty((got.num_rows, BUCKETS), np.float32)
+    for i, row in enumerate(v for chunk in got.column(1).chunks for v in chunk):
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+    del got
     order = np.lexsort((x @ np.linspace(0, 1, BUCKETS, dtype=np.float32), label))  # the same sums in any order of rows
     x, label = x[order], label[order]
     y = np.eye(len(names), dtype=np.float32)[label]
     share = np.maximum(y.mean(0), 1e-9)
     start = np.log(share)
+    w = w.astype(np.float32)
     speed, b = np.zeros_like(w), start.copy()
-    for _ in range(150):
+    scale = (1 / share / len(names) / len(x)).astype(np.float32)
+    for _ in range(ROUNDS):
         z = x @ w + b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        speed = 0.9 * speed - 4.0 * (x.T @ ((p - y) / share / len(names)) / len(x) + 1e-5 * w)
+        gap = (p - y) * scale
+        speed = np.float32(0.9) * speed - np.float32(4.0) * (x.T @ gap + np.float32(1e-5) * w)
         w = w + speed
-        b -= 0.5 * ((p - y) / share / len(names)).mean(0)
-    return Domains(names, w.astype(np.float32), (b - start + prior).astype(np.float32))
+        b = b - np.float32(0.5) * gap.sum(0)
+    return Domains(names, w, (b - start + prior).astype(np.float32))
 
 
 def with_posteriors(docs: DataFrame, model: Domains, text_col: str = "text") -> DataFrame:
