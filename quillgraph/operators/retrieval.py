@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import relation_phrase
-from quillgraph.functions.vectors import cosine, hashed_embedding
+from quillgraph.functions.vectors import cosine, dot, hashed_embedding, norm
 
 
 def usable(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -34,8 +34,12 @@ def top_k_many(df: DataFrame, queries: DataFrame, k: int = 5, vector: str = "emb
     out = None
     for part in range(parts):
         some = queries if parts == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(parts)) == part)
-        pairs = usable(df, vector).select(id_col, vector).crossJoin(F.broadcast(some.select(query_id, F.col(vector).alias("__query"))))
-        scored = pairs.select(query_id, id_col, cosine(F.col(vector), F.col("__query")).alias("similarity")).where("similarity is not null")
+        # Norms are taken once a vector, not once a pair.
+        rows = usable(df, vector).select(id_col, vector, norm(F.col(vector)).alias("__norm"))
+        asked = some.select(query_id, F.col(vector).alias("__query"), norm(F.col(vector)).alias("__query_norm"))
+        pairs = rows.crossJoin(F.broadcast(asked)).where(F.size(vector) == F.size("__query"))
+        similarity = F.try_divide(dot(F.col(vector), F.col("__query")), F.col("__norm") * F.col("__query_norm"))
+        scored = pairs.select(query_id, id_col, similarity.alias("similarity")).where("similarity is not null")
         ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("similarity"), id_col))).where(F.col("rank") <= k)
         out = ranked if out is None else out.union(ranked)
     return out
