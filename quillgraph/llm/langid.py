@@ -127,7 +127,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], carry: list[str], tex
     ``und`` with score 0 for null texts, texts without letters, and any text if
     nothing was learned. Ties go to the lesser language. Scores lie in 0 to 1.
     """
-    carry = [c for c in carry if c not in ("lang_pred", "score")]
+    carry = [c for c in carry if c.lower() not in ("lang_pred", "score")]
     langs, protos = [*model, UNKNOWN], np.array([*model.values(), np.zeros(DIM)], np.float32).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

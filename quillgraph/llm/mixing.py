@@ -102,7 +102,7 @@ def train(rows: DataFrame, shares: dict[str, int]) -> Domains:
 
 def with_posteriors(docs: DataFrame, model: Domains, text_col: str = "text") -> DataFrame:
     """All columns, with ``n_tokens`` and ``posteriors`` in the order of the model's names (replaced if there)."""
-    carry = [c for c in docs.columns if c not in ("n_tokens", "posteriors")]
+    carry = [c for c in docs.columns if c.lower() not in ("n_tokens", "posteriors")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

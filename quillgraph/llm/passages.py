@@ -281,7 +281,8 @@ def without_repeats(docs: DataFrame, finish: Callable[[bytes, list[tuple[int, in
     spark = docs.sparkSession
     scratch = Scratch(spark, "passages")
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    others = [c for c in docs.columns if c not in (text_col, *(o[0] for o in out))]
+    replaced = {text_col.lower(), *(o[0].lower() for o in out)}
+    others = [c for c in docs.columns if c.lower() not in replaced]
     # One table holds both, so that a row keeps its number however often it is read.
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
 
@@ -305,7 +306,7 @@ def without_repeats(docs: DataFrame, finish: Callable[[bytes, list[tuple[int, in
                 cols = zip(*made, strict=True)
                 yield pa.RecordBatch.from_arrays([*b.columns[3:], *[pa.array(c, o[2]) for c, o in zip(cols, out, strict=True)]], names=[*others, *[o[0] for o in out]])
 
-    joined = packed.join(spans.withColumnRenamed("row", "__row"), "__row", "left").select("__packed", "__there", "spans", *others)
+    joined = packed.join(spans.select(F.col("row").alias("__row"), F.col("spans").alias("__spans")), "__row", "left").select("__packed", "__there", "__spans", *[F.col(f"`{c}`") for c in others])
     return joined.mapInArrow(run, ", ".join([*[kinds] * bool(kinds), *[f"`{n}` {t}" for n, t, _ in out]]))
 
 

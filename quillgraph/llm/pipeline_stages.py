@@ -42,8 +42,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = langid.train(learn)
     if not model:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    rows = langid.predict(docs, model, docs.columns)
-    return rows.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in ("lang_pred", "score")}
+    renamed = docs.withColumnsRenamed(own)
+    rows = langid.predict(renamed, model, renamed.columns)
+    kept = rows.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE))
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_operators import DOCS, slow_components, slow_fingerprint
 
 from quillgraph.llm import decontamination, passages, pipeline_stages
@@ -72,3 +73,15 @@ def test_odd_documents_pass(spark, tmp_path, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
     assert pipeline_stages.TARGETS["clean"] > 0.5
+
+
+def test_clashing_columns_pass_unchanged(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    extra = {"Score": "1.5", "lang_pred": "'mine'", "spans": "7", "row": "8", "packed": "9", "fp": "10", "component_id": "11", "similarity": "12", "item": "13", "u": "14"}
+    for name, e in extra.items():
+        docs = docs.withColumn(name, F.expr(e))
+    want = tuple(docs.select(*extra).first())
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns[: len(docs.columns)] == docs.columns or name == "mixing"
+        assert {tuple(r) for r in out.select(*extra).collect()} == {want}
