@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -68,31 +69,41 @@ def pack_codes(codes: list[int]) -> bytes:
     return np.packbits(bits[np.arange(16) < width[:, None]], bitorder="little").tobytes()
 
 
+@lru_cache(16)
+def _layout(min_bits: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Widths and ends, in bits, of the codes after a clear code, and of further ones while the table stays full."""
+    free = (1 << min_bits) + 2 + np.maximum(0, np.arange(1, 1 << 13) - 2)
+    grown = np.clip(np.floor(np.log2(free)).astype(np.int64) + 1, min_bits + 1, 12)
+    full = np.full(1 << 12, 12)
+    return (grown, np.cumsum(grown)), (full, np.cumsum(full))
+
+
 def unpack_codes(data: bytes, min_bits: int = 8) -> list[np.ndarray]:
     """The codes between clear codes, up to the end code or the end of the data."""
     clear, end = 1 << min_bits, (1 << min_bits) + 1
-    grown = np.clip(np.floor(np.log2(end + 1 + np.maximum(0, np.arange(1 << 13) - 2))).astype(np.int64) + 1, min_bits + 1, 12)[1:]
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
     bits, at, parts = len(data) * 8, 0, []
+    after_clear, later = _layout(min_bits)
     while True:
         run: list[np.ndarray] = []
-        width, stop = grown, False
+        (width, ends), stop = after_clear, False
         while True:
-            ends = at + np.cumsum(width)
-            ends = ends[ends <= bits]
-            start = ends - width[: len(ends)]
+            n = int(np.searchsorted(ends, bits - at, "right"))
+            start = at + ends[:n] - width[:n]
             byte = start >> 3
-            code = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (start & 7).astype(np.uint32)) & ((1 << width[: len(ends)]) - 1).astype(np.uint32)
+            code = raw[byte] | raw[byte + 1].astype(np.uint32) << 8 | raw[byte + 2].astype(np.uint32) << 16
+            code = code >> (start & 7).astype(np.uint32) & ((1 << width[:n]) - 1).astype(np.uint32)
             marks = np.flatnonzero((code == clear) | (code == end))
             if len(marks):
                 run.append(code[: marks[0]])
-                at, stop = int(ends[marks[0]]), code[marks[0]] == end
+                at, stop = at + int(ends[marks[0]]), code[marks[0]] == end
                 break
             run.append(code)
-            if len(ends) < len(width):
+            if n < len(width):
                 stop = True
                 break
-            at, width = int(ends[-1]), np.full(1 << 12, 12)  # no clear code yet: the table stays full
+            at += int(ends[-1])
+            width, ends = later  # no clear code yet
         parts.append(np.concatenate(run))
         if stop:
             return parts
@@ -104,19 +115,24 @@ def lzw_samples(data: bytes, min_bits: int = 8) -> bytes:
     emit = out.append
     for codes in unpack_codes(data, min_bits):
         table = [bytes((i,)) for i in range(1 << min_bits)] + [b"", b""]
-        add, size, before = table.append, len(table), b""
-        for code in codes.tolist():
-            if code < size:
+        add, room = table.append, FULL - len(table)
+        listed = codes.tolist()
+        if not listed:
+            continue
+        if listed[0] >= 1 << min_bits:
+            raise ValueError("LZW code beyond the table")
+        emit(before := table[listed[0]])
+        for code in listed[1 : room + 1]:
+            try:
                 now = table[code]
-            elif code == size and before:
-                now = before + before[:1]
-            else:
-                raise ValueError("LZW code beyond the table")
+            except IndexError:
+                if code != len(table):
+                    raise ValueError("LZW code beyond the table") from None
+                now = before + before[:1]  # the entry that this very code completes
             emit(now)
-            if before and size < FULL:
-                add(before + now[:1])
-                size += 1
+            add(before + now[:1])
             before = now
+        out += [table[code] for code in listed[room + 1 :]]
     return b"".join(out)
 
 
