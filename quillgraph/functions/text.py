@@ -92,6 +92,7 @@ def key_values(text: Column, quoted_fix: bool = False) -> Column:
     plain = r'(?U)(\w+)\s*=\s*([^\s=]+|"[^"]+")'
     fixed = r'(?U)(\w+)\s*=\s*("[^"]+"|[^\s=]+)'
     pattern = F.lit(fixed if quoted_fix else plain)
+    text = F.when(F.contains(text, F.lit("=")), text).otherwise("")  # most texts have no pair, and the pattern is dear
     pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("key"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("value"))
     bare = lambda v: F.trim(F.when(v.rlike('(?s)^".*"$') & (F.length(v) > 1), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v))
     return F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), bare(p["value"]).alias("value")))
