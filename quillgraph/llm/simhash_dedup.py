@@ -8,6 +8,12 @@ it, however large a group of copies is. Each shard gets a BK-tree whose search
 follows only the edges within the radius. The trees live in the tasks that hold
 their shards: broadcasting trees over every fingerprint of the corpus would have
 no size bound.
+
+The pipeline's stage asks for more than the query: five-word shingles alike by
+0.8 or more, where some ten bits differ. A search of radius NEAR_RADIUS would
+pass nearly every edge of a tree and no block of bits need agree, so there the
+shards are named by MinHash bands, the fingerprints of a shard's group are
+scanned, and what lies within the radius is verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -29,6 +35,10 @@ SEED = 42
 RADIUS = 2
 BLOCK = 1 << 16
 SHARDS_AT_ONCE = 1 << 18
+WIDTH = 5  # words, of the stage's shingles
+LEAST = 0.8
+NEAR_RADIUS = 26  # 4.5 deviations above the mean at 0.8 for texts of five shingles, more for longer ones
+BANDS, ROWS = 32, 4  # a pair alike by 0.8 shares no band with a chance of 5e-8
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -133,11 +143,135 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(class_of, "fp").select(F.col("doc").alias(id_col), hex_.alias("fingerprint"), "component_id")
 
 
+def near_shingles(text: str | None) -> np.ndarray:
+    """Sorted hashes of the five-word shingles, those that repeat told apart by number; none for wordless texts."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    width = min(WIDTH, len(words))
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    out = np.full(len(words) - width + 1 if words else 0, width, np.uint64)
+    for k in range(width):
+        out = _mixed(out + h[k : k + len(out)])
+    out.sort()
+    first = np.r_[True, out[1:] != out[:-1]] if len(out) else np.zeros(0, bool)
+    if not first.all():
+        at = np.arange(len(out))
+        out = np.sort(_mixed(out + (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)))
+    return out
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(32)
+
+
+def _print_of(h: np.ndarray) -> int:
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(h), BLOCK):
+        total += np.unpackbits(h[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(total * 2 > len(h)).tobytes(), "big")
+
+
+def _key(h: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(h.tobytes(), SEED)
+
+
+_factors = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _bands(h: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(h), 1 << 12):
+        least = np.minimum(least, (h[at : at + (1 << 12)] * _factors).min(axis=1))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        out = _mixed(out + least[k::ROWS])
+    return out
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        shingles = [near_shingles(x.as_py()) for x in batch.column(1)]
+        keys = np.array([_key(h) for h in shingles], np.uint64).view(np.int64)
+        bands = np.array([_bands(h) for h in shingles], np.uint64).view(np.int64).ravel()
+        ends = pa.array(np.arange(len(shingles) + 1, dtype=np.int32) * BANDS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.ListArray.from_arrays(ends, pa.array(bands))], names=["doc", "key", "bands"])
+
+
+def near_labels(shingles: list[np.ndarray]) -> np.ndarray:
+    """For each text the least position that links of similarity LEAST or more reach.
+
+    A text is compared with the nearest fingerprints first, and with no further text
+    of a component it has joined, so that a large group of copies takes few comparisons.
+    """
+    size = np.array([len(h) for h in shingles])
+    prints = np.array([_print_of(h) for h in shingles], np.uint64)
+    label = np.arange(len(shingles))
+    for q in range(1, len(shingles)):
+        far = np.bitwise_count(prints[:q] ^ prints[q])
+        left = np.flatnonzero((far <= NEAR_RADIUS) & (np.minimum(size[:q], size[q]) >= LEAST * np.maximum(size[:q], size[q])))
+        left = left[np.argsort(far[left], kind="stable")]
+        while len(left):
+            p = left[0]
+            both = len(np.intersect1d(shingles[p], shingles[q], assume_unique=True))
+            left = left[1:]
+            if both >= LEAST * (size[p] + size[q] - both):
+                a, b = sorted((label[p], label[q]))
+                label[label == b] = a
+                left = left[label[left] != a]
+    return label
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by coarse group; each group's texts to their keys and their component's key."""
+    group, held = None, {}
+
+    def done() -> pa.RecordBatch:
+        keys = np.array(list(held), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys[near_labels(list(held.values()))])], names=["key", "root"])
+
+    for batch in batches:
+        for root, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if root != group:
+                if held:
+                    yield done()
+                group, held = root, {}
+            h = near_shingles(text.as_py())
+            if key not in held and np.uint64(_key(h)).astype(np.int64) == key:
+                held[key] = h
+    if held:
+        yield done()
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc, component_id)``, one row for each distinct text of an id; rows with a null id have none.
+
+    Texts whose bags of five-word shingles are alike by LEAST or more (weighted
+    Jaccard) are linked. Texts that share a MinHash band form coarse groups, and
+    each group is verified in one task, which holds its distinct texts' shingles.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    kind = docs.schema[id_col].dataType.simpleString()
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = scratch.keep(own.mapInArrow(_sketches, f"doc {kind}, key long, bands array<long>"), "sketches")
+    classes = scratch.keep(rows.groupBy("key").agg(F.min("doc").alias("least"), F.first("bands").alias("bands")), "texts")
+    shards = classes.select("key", F.explode("bands").alias("band"))
+    least = scratch.keep(shards.groupBy("band").agg(F.min("key").alias("m"), F.count("*").alias("n")).where("n > 1").select("band", "m"), "shards")
+    links = shards.join(least, "band").where("key <> m").select(F.col("key").alias("u"), F.col("m").alias("v")).distinct()
+    stars = star_forest(links, scratch)
+    member = stars.select(F.col("u").alias("key"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
+    texts = own.join(classes.join(member, "key").select(F.col("least").alias("doc"), "key", "root"), "doc").select("root", "key", "text")
+    verified = scratch.keep(texts.repartition("root").sortWithinPartitions("root", "key").mapInArrow(_verify, "key long, root long"), "verified")
+    rooted = classes.drop("bands").join(verified, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
+    return rows.select("doc", "key").distinct().join(rooted.join(named, "root").select("key", "component_id"), "key").select("doc", "component_id")
+
+
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is their component's least; of rows that share it, an arbitrary one.
+    """The documents whose id is their component's least (see near_components); of rows that share it, an arbitrary one.
 
     Rows with a null id stay. Columns are unchanged.
     """
-    kept = simhash_components(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    kept = near_components(docs, id_col, text_col).where("doc = component_id").select(F.col("doc").alias(id_col)).distinct()
     out = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
     return out.unionByName(docs.where(F.col(id_col).isNull()))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import random
+import re
+from collections import Counter
+from itertools import combinations
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 from test_operators import DOCS, slow_components, slow_fingerprint
 
-from quillgraph.llm import decontamination, passages, pipeline_stages
+from quillgraph.llm import decontamination, passages, pipeline_stages, simhash_dedup
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +42,43 @@ def test_one_of_each_group(stages):
     assert set(after) == set(label.values())
 
 
+def slow_near(texts):
+    """The least ids of the components of similarity 0.8 or more on bags of five words."""
+    bags = {}
+    for k, t in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        bags[k] = Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+    label = {k: k for k in bags}
+    for a, b in combinations(sorted(bags), 2):
+        both = sum((bags[a] & bags[b]).values())
+        if both >= 0.8 * (bags[a].total() + bags[b].total() - both):
+            low, high = sorted((label[a], label[b]))
+            label = {k: low if v == high else v for k, v in label.items()}
+    return set(label.values())
+
+
+def test_no_near_copies_stay(stages):
+    before, after, _ = stages["simhash"]
+    assert set(after) == slow_near({k: r["text"] for k, r in before.items()})
+
+
+def test_near_copies_by_changed_words(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for size, changes in [(5, 0), (8, 0), (9, 1), (60, 1), (60, 2), (200, 1), (200, 4), (200, 6), (1000, 8)] * 6:
+        base = [word() for _ in range(size)]
+        copy = list(base)
+        for at in rng.sample(range(size), changes):
+            copy[at] = word()
+        texts += [" ".join(base), " ".join(copy), " ".join(base[: size - size // 12])]
+    texts += ["x y " * 40, "x y " * 44, "x y " * 60]
+    hub = [word() for _ in range(80)]
+    texts += [" ".join(w if i != at else word() for i, w in enumerate(hub)) for at in range(3, 80, 5)]
+    kept = simhash_dedup.keep_one_per_group(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS))
+    assert {r["doc_id"] for r in kept.collect()} == slow_near(dict(enumerate(texts)))
+
+
 def test_cut_passages(stages):
     before, after, _ = stages["passages"]
     assert set(before) == set(after)
