@@ -4,6 +4,7 @@ Texts are lower-cased words; shingles are five words, with repeats as weights.
 Each document is searched in windows of the items' own sizes. A window and an
 item of the same size whose similarity reaches 0.8 share a shingle, so windows
 are taken around shingles that some item has; no window elsewhere can match.
+A text with fewer words than an item is one window, compared as a whole.
 Fingerprints are compared through eight blocks of eight bits: two that differ in
 at most RADIUS bits differ in at most RADIUS // 8 in some block, so looking up
 each block's neighbours finds every item within the radius. What is found is
@@ -130,7 +131,7 @@ class Index:
                     places[size].append(at)
             for size, ats in places.items():
                 self._around(h, size, ats, best)
-        return [(self.items[n][0], sim, at, len(self.items[n][1])) for n, (sim, at) in sorted(best.items())]
+        return [(self.items[n][0], sim, at, min(len(self.items[n][1]), len(words))) for n, (sim, at) in sorted(best.items())]
 
     def _short(self, words: list[str], size: int, best: dict) -> None:
         """Items shorter than a shingle match as a whole or not at all."""
@@ -139,8 +140,11 @@ class Index:
                 best.setdefault(n, (1.0, at))
 
     def _around(self, h: np.ndarray, size: int, ats: list[int], best: dict) -> None:
-        """Windows of ``size`` words that hold one of the shingles at ``ats``."""
+        """Windows of ``size`` words that hold one of the shingles at ``ats``; the whole of a shorter text."""
         n, start = size - WIDTH + 1, 0
+        if len(h) < LEAST * n:
+            return
+        n = min(n, len(h))
         while start < len(ats):
             end = start + 1
             while end < len(ats) and ats[end] - ats[end - 1] < n and end - start < 1 << 14:
@@ -175,6 +179,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """``(doc_id, item_id, similarity, first_word, n_words)``: each item a document holds, with its best window.
 
     Null, empty and wordless texts hold nothing, and such items are in nothing.
+    A text with fewer words than an item matches as a whole; n_words is then its own.
     Items of fewer than five words match exactly. The first of equally good
     windows counts. Repeated rows give repeated results. Items are broadcast in
     parts of at most ITEMS_AT_ONCE, and each part takes a pass over the documents.

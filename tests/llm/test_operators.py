@@ -408,6 +408,24 @@ def test_decontamination(spark):
     assert got == want and len({k for _, k in got}) == 6
 
 
+def test_texts_shorter_than_an_item(spark):
+    rng = random.Random(8)
+    items = [(n, " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))) for n in (4, 9, 20, 30, 59)]
+    texts = [" ".join(w[:at] + w[at + cut :]) for _, t in items if (w := t.split()) for cut in range(1, 12) for at in (0, len(w) // 2, len(w) - cut) if 0 <= at < len(w)]
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    want = {}
+    for i, t in enumerate(texts):
+        for k, item in items:
+            a, b = grams(t.split()), grams(item.split())
+            both = (a & b).total()
+            if len(t.split()) < k and both >= 0.8 * (a.total() + b.total() - both):
+                want[i, k] = round(both / (a.total() + b.total() - both), 9), 0, len(t.split())
+    docs = docs_of(spark, texts)
+    rows = decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["first_word"], r["n_words"]) for r in rows} == want and len(want) > 20
+    assert decontamination.without_contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).count() == len(texts) - len({i for i, _ in want})
+
+
 def test_decontamination_in_parts(spark, monkeypatch):
     items = spark.createDataFrame([(i, f"w{i} x y z q r s t") for i in range(30)], "item_id long, text string")
     docs = docs_of(spark, [f"a b w{i} x y z q r s t c" for i in range(0, 30, 3)])
