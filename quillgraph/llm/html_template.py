@@ -4,11 +4,12 @@ Tokens are tags (with class and id, told apart by the containers around them)
 and whole text nodes. Tokens with equal occurrence vectors over the distinct
 pages of a group form a class. The class that stands once in every page, in one
 order, is the page template; a class that stands several times inside one of its
-gaps is nested there (menus, lists). The gaps are the slots. A slot gets its role
-from the template's tags around it, its nested classes and its text: the main
-slots are those inside the template's article or, lacking one, those with the
-most text that is not links. What text repeats on all pages outside the article
-belongs to the template.
+gaps is nested there (menus, lists). The gaps that its block tags open are the
+slots. Main are the slots inside the smallest template container that holds the
+slot with the most text that is not links; slots of links that repeat there
+(nested classes) and blocks that repeat on all pages are not. This holds for pages
+without article and main elements. Where pages have these, the tags decide: the
+article's text is kept whole but for the elements and names listed below.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ class Token:
     path: tuple[str, ...] = ()
     outside: bool = False  # inside an element that is never main text
     main: bool = False  # inside article or main
+    element: str = ""  # an opening tag as it stands in paths
 
 
 def tokens(page: str) -> Iterator[Token]:
@@ -75,7 +77,7 @@ def tokens(page: str) -> Iterator[Token]:
         marks = " ".join(v.group(2) or v.group(3) or v.group(4) or "" for v in NAMING.finditer(attributes))
         named = f"{name}.{marks}" if marks else name
         hidden = name in OUTSIDE or (name == "header" and not main) or bool(marks and name not in ("html", "body", "article", "main") and ASIDE_NAMES.search(marks))
-        yield Token("/".join(path) + " <" + named, "void" if name in VOID else "open", name, "", path, outside, main)
+        yield Token("/".join(path) + " <" + named, "void" if name in VOID else "open", name, "", path, outside, main, named)
         if name in RAW:
             end = re.compile(f"</{re.escape(name)}\\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else size
@@ -87,9 +89,9 @@ def tokens(page: str) -> Iterator[Token]:
 class Template:
     order: list[str] = field(default_factory=list)  # the class that stands once on every page
     nested: dict[str, list[str]] = field(default_factory=dict)  # classes that repeat inside a slot
-    fixed: set[str] = field(default_factory=set)  # texts that repeat outside the article
+    fixed: set[str] = field(default_factory=set)  # blocks that repeat outside the article
     main: set[str] = field(default_factory=set)  # slots, named by the template token before them
-    article: bool = False
+    article: set[str] = field(default_factory=set)  # main slots of which only article or main elements count
 
 
 def _chain(orders: list[list[str]]) -> list[str]:
@@ -117,17 +119,19 @@ def deduce(pages: list[list[Token]]) -> Template:
         if all(vector):
             classes[tuple(vector)].add(key)
     once = classes.pop((1,) * len(pages), set())
-    texts = {token.key for page in pages for token in page if token.kind == "text"}
-    tags = [[token.key for token in page if token.key in once and token.key not in texts] for page in pages]
-    t.order = _chain(tags)
+    names = {token.key: token.name for page in pages for token in page}
+    t.order = _chain([[token.key for token in page if token.key in once and names[token.key] in BLOCKS] for page in pages])
     mine = set(t.order)
     slots: dict[str, Counter] = defaultdict(Counter)
     where: dict[str, set[str]] = defaultdict(set)
+    holder: dict[str, tuple[str, ...]] = {"": ()}
     for page in pages:
         slot, link = "", 0
         for token in page:
             if token.key in mine:
                 slot = token.key
+                inner = token.kind == "open" and token.name in CONTAINERS
+                holder[slot] = (*token.path, token.element) if inner else token.path
             where[token.key].add(slot)
             if token.name == "a":
                 link = token.kind == "open"
@@ -135,55 +139,59 @@ def deduce(pages: list[list[Token]]) -> Template:
                 n = len(token.text.strip())
                 slots[slot].update({"text": n, "links": n * link, "main": n * token.main})
     for keys in classes.values():
-        inside = set.union(*(where[k] for k in keys))
-        if len(inside) == 1:
-            t.nested.setdefault(inside.pop(), []).extend(sorted(keys - texts))
-    t.article = any(token.main for page in pages for token in page)
-    if t.article:
-        t.main = {s for s, c in slots.items() if c["main"]}
-    else:
-        prose = {s: c["text"] - 2 * c["links"] for s, c in slots.items()}
-        most = max(prose.values(), default=0)
-        t.main = {s for s, n in prose.items() if n > 0 and 4 * n >= most}
+        for k in sorted(k for k in keys if names[k] and len(where[k]) == 1):
+            t.nested.setdefault(next(iter(where[k])), []).append(k)
+    prose = {s: c["text"] - 2 * c["links"] for s, c in slots.items()}
+    t.article = {s for s, c in slots.items() if c["main"]}
+    largest = max(slots, key=lambda s: prose[s], default="")
+    inside = holder[largest]
+    menus = {s for s, keys in t.nested.items() if prose.get(s, 0) <= 0 and any(k.rpartition(" <")[2].split(".")[0] == "a" for k in keys)}
+    t.main = t.article or {s for s in slots if holder[s][: len(inside)] == inside} - menus
     if len(pages) >= FEW:
-        inside = {token.key for page in pages for token in page if token.main}
-        t.fixed = {k for k, v in vectors.items() if k in texts and all(v) and k not in inside}
+        t.fixed = set.intersection(*({text for _, text, main in _blocks(page, t) if not main} for page in pages))
     return t
 
 
-def main_text(page: list[Token], template: Template) -> str:
-    """The blocks of the main slots, each with single spaces, one on a line."""
+def _blocks(page: list[Token], template: Template) -> Iterator[tuple[str, str, bool]]:
+    """(slot, text with single spaces, whether an article holds it) of each block with text in the main slots."""
     mine = set(template.order)
-    article = any(token.main for token in page)
-    blocks: list[str] = []
     part: list[str] = []
-    slot = ""
-
-    def end() -> None:
-        if block := " ".join("".join(part).split()):
-            blocks.append(block)
-        part.clear()
-
+    slot, main = "", False
     for token in page:
-        if token.key in mine:
-            slot = token.key
         if token.kind != "text":
             if token.name in BLOCKS:
-                end()
+                if block := " ".join("".join(part).split()):
+                    yield slot, block, main
+                part.clear()
+                main = False
             elif token.name == "br":
                 part.append(" ")
-        elif not token.outside and (token.main if article else slot in template.main and token.key not in template.fixed):
+        elif not token.outside and slot in template.main and (token.main or slot not in template.article):
             part.append(html.unescape(token.text))
-    end()
-    return "\n".join(blocks)
+            main |= token.main
+        if token.key in mine:
+            slot = token.key
+    if block := " ".join("".join(part).split()):
+        yield slot, block, main
+
+
+def main_text(page: list[Token], template: Template) -> str:
+    """The blocks of the main slots, each with single spaces, one on a line."""
+    return "\n".join(text for _, text, main in _blocks(page, template) if main or text not in template.fixed)
 
 
 def extract_group(pages: list[str | None]) -> list[str]:
-    """Main texts of pages deduced together; equal pages count once in the vectors."""
+    """Main texts of pages deduced together; equal pages count once in the vectors.
+
+    Pages with an article or main element and those without are two layouts.
+    """
     parsed = {p: list(tokens(p or "")) for p in dict.fromkeys(pages)}
-    distinct = [t for t in parsed.values() if t]
-    template = deduce(distinct) if distinct else Template()
-    done = {p: main_text(t, template) for p, t in parsed.items()}
+    layouts: dict[bool, list[list[Token]]] = defaultdict(list)
+    for t in parsed.values():
+        if t:
+            layouts[any(token.main for token in t)].append(t)
+    templates = {article: deduce(own) for article, own in layouts.items()}
+    done = {p: main_text(t, templates[any(token.main for token in t)]) if t else "" for p, t in parsed.items()}
     return [done[p] for p in pages]
 
 

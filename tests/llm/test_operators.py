@@ -239,6 +239,16 @@ def test_pages_without_article():
     assert got == [f"{w} has {i} things to tell at length here.\nAnd more of {w}." for i, w in enumerate(words)]
 
 
+def test_template_decides_the_text():
+    menu = lambda i: "<div class=topics>" + "".join(f"<a href=/{i}{k}>topic {i}{k}</a> " for k in "abc") + "</div>"
+    pages = [page(["x"], f"<div id=story><p>Story {i} runs on for a good many words here.</p>{menu(i)}<p>Copied with kind permission</p><h2>Part {i}</h2></div>") for i in range(4)]
+    assert html_template.extract_group(pages) == [f"Story {i} runs on for a good many words here.\nPart {i}" for i in range(4)]
+    parsed = [list(html_template.tokens(p)) for p in pages]
+    template = html_template.deduce(parsed)
+    assert any(" <a" in k for keys in template.nested.values() for k in keys)
+    assert html_template.main_text(parsed[0], html_template.Template()) == ""
+
+
 def test_html_copies_and_odd_pages():
     one = page(["a"], "<article><p>same</p></article>")
     assert html_template.extract_group([one] * 40) == ["same"] * 40
