@@ -36,7 +36,7 @@ CONTAINERS = frozenset("html head body nav header footer aside article main sect
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption thead tbody tfoot blockquote pre address hgroup figcaption fieldset legend option summary hr".split())
 OUTSIDE = frozenset("head nav footer aside form menu select button svg dialog iframe".split())
 MAIN = frozenset("article main".split())
-ASIDE_NAMES = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|sidebar|side|footer|header|masthead|breadcrumbs?|cookies?|consent|notice|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|replies|reply|disqus|popup|modal|widget|toolbar|pagination|pager|skip|search)(?:$|[-_\s])", re.IGNORECASE)
+ASIDE_NAMES = re.compile(r"(?<!\S)(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|sidebar|side|footer|header|masthead|breadcrumbs?|cookies?|consent|notice|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|replies|reply|disqus|popup|modal|widget|toolbar|pagination|pager|skip|search)(?!\S)", re.IGNORECASE)
 
 
 @dataclass

@@ -249,6 +249,21 @@ def test_template_decides_the_text():
     assert html_template.main_text(parsed[0], html_template.Template()) == ""
 
 
+def test_headings_and_short_paragraphs_stay():
+    body = "<div class=content><h1>Title {0}</h1><p class=lead>Lead {0}</p>{1}<p class=end>End {0}</p></div><div class=other>Small print {0}</div>"
+    long = lambda i: "".join(f"<p>Paragraph {i} {k} with a good many words that make the body long.</p>" for k in range(9))
+    pages = [page(["x"], body.format(i, long(i))) for i in range(4)]
+    for i, text in enumerate(html_template.extract_group(pages)):
+        lines = text.split("\n")
+        assert lines[:2] == [f"Title {i}", f"Lead {i}"] and lines[-1] == f"End {i}" and len(lines) == 12
+
+
+@pytest.mark.parametrize("marks", ["id=related-work", "class=side-effects", 'id="social-impact"', 'class="search_methods wide"'])
+def test_names_that_begin_like_asides_stay(marks):
+    pages = [page(["x"], f"<article><p>First {i}.</p><section {marks}><p>Second {i}.</p></section><div class='wide related'>gone</div></article>") for i in range(4)]
+    assert html_template.extract_group(pages) == [f"First {i}.\nSecond {i}." for i in range(4)]
+
+
 def test_html_copies_and_odd_pages():
     one = page(["a"], "<article><p>same</p></article>")
     assert html_template.extract_group([one] * 40) == ["same"] * 40
