@@ -508,6 +508,16 @@ def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", big("batch").alias("batch"), big(F.size("padded")).alias("size"), big(F.aggregate("mask", F.lit(0), lambda a, x: a + x)).alias("used"))
 
 
+@query("""WITH b AS (SELECT doc_id, doc_id // 32 AS batch, length(text) AS n FROM documents), m AS (SELECT *, max(n) OVER (PARTITION BY batch) AS most FROM b)
+SELECT doc_id, batch::BIGINT AS batch, most::BIGINT AS size, n::BIGINT AS used FROM m""")
+def padded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As padded_batches, whose SQL pads the first 40 characters, over whole texts."""
+    chars = F.filter(F.split("text", ""), lambda c: c != "")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(chars, lambda c: F.ascii(c)).alias("ids"))
+    out = sequences.batches(rows, "doc_id")
+    return out.select("doc_id", big("batch").alias("batch"), big(F.size("padded")).alias("size"), big(F.aggregate("mask", F.lit(0), lambda a, x: a + x)).alias("used"))
+
+
 @query("""SELECT event_type, CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = incremental.event_counts(table(spark, sf_dir, "events"))
