@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from quillgraph.llm.langid import bounded_sample, fold
 
 SAMPLE = 2000  # labelled documents of each label that are learned from, about
-TERMS = 4000  # entries of the lexicon at most
 SUPPORT = 4, 0.01  # different surroundings that a word needs: a number, and a share of the toxic sample; a stem needs twice as many
 RARER = 0.02  # how much of its rate in toxic documents a term may have in others
 STEM, FUZZY = 4, 5  # letters of the shortest stem, and of the shortest entry that may be misspelled
@@ -195,11 +194,11 @@ def train(rows: DataFrame) -> tuple[Lexicon, np.ndarray]:
     totals = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     rate = RARER * totals.get(0, 1) / max(1, totals.get(1, 0))
     support = max(SUPPORT[0], SUPPORT[1] * totals.get(1, 0))
-    best = lambda df, key: [r[0] for r in df.orderBy(F.desc("pos"), key).limit(TERMS).collect()]
+    best = lambda df, key: [r[0] for r in df.orderBy(F.desc("pos"), key).collect()]
     words = best(stats.where((F.col("pos") >= support) & (F.col("neg") <= rate * F.col("pos"))), "word")
     prefixes = stats.select("word", "pos", "neg", F.explode(F.sequence(F.lit(STEM), F.greatest(F.length("word"), F.lit(STEM)))).alias("n")).where(F.length("word") >= F.col("n"))
     stems = prefixes.groupBy(F.expr("substring(word, 1, n)").alias("stem")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count("*").alias("n"))
-    stems = [(r[0], r[1]) for r in stems.where((F.col("pos") >= 2 * support) & (F.col("neg") <= rate * F.col("pos")) & (F.col("n") >= 3)).orderBy(F.desc("pos"), "stem").limit(TERMS).collect()]
+    stems = [(r[0], r[1]) for r in stems.where((F.col("pos") >= 2 * support) & (F.col("neg") <= rate * F.col("pos")) & (F.col("n") >= 3)).orderBy(F.desc("pos"), "stem").collect()]
     weight = dict(stems)
     # The longest stem that loses hardly any support to its extensions stands for them.
     top = [s for s in weight if not any(s[:n] in weight for n in range(STEM, len(s)))]
@@ -215,7 +214,7 @@ def train(rows: DataFrame) -> tuple[Lexicon, np.ndarray]:
             found = [w for w in batch.column(0).to_pylist() if lexicon.match(w) == 1]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
 
-    exempt = stats.where(F.col("neg") > rate * F.col("pos")).select("word").mapInArrow(near, "word string").orderBy("word").limit(TERMS)
+    exempt = stats.where(F.col("neg") > rate * F.col("pos")).select("word").mapInArrow(near, "word string")
     lexicon = Lexicon(lexicon.words, lexicon.stems, frozenset(r[0] for r in exempt.collect()))
     found = np.array([tuple(r) for r in with_evidence(rows.select("text", "label"), lexicon, ["label"]).collect()], float).reshape(-1, 3)
     return lexicon, _fit(found[:, 1:], found[:, 0])

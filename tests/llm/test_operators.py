@@ -524,6 +524,17 @@ def test_toxicity_without_labels(spark):
     assert len(rows) == len(TEXTS) and all(0 <= r["score"] < 0.7 and r["predicted"] == 0 for r in rows)
 
 
+def test_all_look_alikes_are_exempt(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    bad = [word(12) for _ in range(9)]
+    alike = sorted({w[:i] + c + w[i + k :] for w in bad for i in range(12) for k in (0, 1) for c in "abcdefghijklmnopqrstuvwxyz"} - set(bad))
+    rows = [(i, " ".join(f"{word(6)} {b} {word(6)}" for b in bad), 1) for i in range(60)]
+    rows += [(100 + i, " ".join(f"{word(6)} {a} {word(6)}" for a in alike[i::60]), 0) for i in range(60)]
+    lexicon, _ = toxicity.train(spark.createDataFrame(rows, "id long, text string, label int"))
+    assert len(alike) > 5000 and not [a for a in alike if lexicon.match(a) is not None and a not in lexicon.exempt]
+
+
 # 10: chat
 
 
