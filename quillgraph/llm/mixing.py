@@ -27,6 +27,7 @@ STEPS = 40
 ROUNDS = 150  # of the classifier's descent
 CLOSE = 1e-4  # of all tokens, summed over domains
 PART = 1 << 20  # bytes handled at once
+MADE = ("n_tokens", "posteriors")
 
 
 def features(text: str | None) -> tuple[np.ndarray, int]:
@@ -101,19 +102,24 @@ def train(rows: DataFrame, shares: dict[str, int]) -> Domains:
 
 
 def with_posteriors(docs: DataFrame, model: Domains, text_col: str = "text") -> DataFrame:
-    """All columns, with ``n_tokens`` and ``posteriors`` in the order of the model's names (replaced if there)."""
-    carry = [c for c in docs.columns if c.lower() not in ("n_tokens", "posteriors")]
+    """All columns, with ``n_tokens`` and ``posteriors`` in the order of the model's names (replaced if there).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Null counts as empty. Only the text goes to Python.
+    """
+    carry = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in MADE]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                found = [features(t) for t in b.column(0).to_pylist()]
-                p = model.posteriors(np.stack([f[0] for f in found]))
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([f[1] for f in found], pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64()))], names=[*carry, "n_tokens", "posteriors"])
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(F.col(text_col).cast("string").alias("__text"), *carry).mapInArrow(run, f"{kinds}, n_tokens long, posteriors array<double>")
+            tokens, rows = [], []
+            for at in range(0, len(whole), 256):
+                found = [features(t.as_py()) for t in whole.slice(at, 256)]
+                tokens += [f[1] for f in found]
+                rows += model.posteriors(np.stack([f[0] for f in found])).tolist()
+            yield pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(rows, pa.list_(pa.float64()))], names=list(MADE))
+
+    made = F.arrow_udf(run, "n_tokens long, posteriors array<double>")
+    found = docs.select(*carry, made(F.col(text_col).cast("string")).alias("__found"))
+    return found.select(*carry, *[f"__found.{c}" for c in MADE])
 
 
 def _rate(residuals: list[list[float]], eta: float, at_extrapolation: bool = False) -> Column:

@@ -27,10 +27,10 @@ def mixed(docs: DataFrame, labels: DataFrame, carry: list[str]) -> tuple[DataFra
     shares = {r[0]: r[1] for r in named.where(langid.fold() != 1).groupBy("domain").count().collect()} or {"clean": 1}
     scratch = Scratch(docs.sparkSession, "domains")
     model = mixing.train(scratch.keep(labelled_sample(docs, named, "domain", most=MIX_SAMPLE), "sample"), shares)
-    known = scratch.keep(mixing.with_posteriors(docs.select("doc_id", "text"), model).drop("text"), "posteriors")
+    kept = docs.select("text", *[F.col(f"`{c}`") for c in carry if c.lower() != "text"])
+    known = scratch.keep(mixing.with_posteriors(kept, model).select(*[F.col(f"`{c}`") for c in carry if c.lower() not in mixing.MADE], *mixing.MADE), "posteriors")
     rate, found = mixing.fit_rates(known, model, TARGETS)
-    rows = known if carry == ["doc_id"] else mixing.with_posteriors(docs.select(*carry), model)
-    return mixing.with_rates(rows, rate), model, found
+    return mixing.with_rates(known, rate), model, found
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +42,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = langid.train(learn)
     if not model:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in ("lang_pred", "score")}
-    renamed = docs.withColumnsRenamed(own)
-    rows = langid.predict(renamed, model, renamed.columns)
-    kept = rows.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE))
-    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+    found = langid.prediction(model, F.col("text"))
+    return docs.where((found["lang_pred"] != langid.UNKNOWN) & (found["score"] >= LEAST_COSINE))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
