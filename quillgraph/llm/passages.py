@@ -1,4 +1,4 @@
-"""Repeated passages: suffix buckets refined on the bucket identifiers of later offsets.
+"""Repeated passages: suffix buckets refined on the bucket pointers of later offsets.
 
 A byte goes if some LENGTH-byte string that covers it also starts elsewhere. Each
 LENGTH-byte window has an anchor: its leftmost GRAM-byte string of least hash.
@@ -9,22 +9,24 @@ first bucket of the suffixes that start near it:
    shuffled for this, no text.
 2. Anchors whose whole surroundings (all windows that chose them) are equal in
    two places are finished too: all those windows repeat.
-3. What is left, one row for each class of equal surroundings, is refined with
-   its bytes: the bucket of 2k bytes at i is the rank of the pair of k-byte
-   buckets at i and i+k, and each new depth reuses the identifiers of the last,
-   until buckets stand for LENGTH bytes. Buckets of more than WIDEST classes are
-   refined as counted rows instead, one for each window, so that no task holds
-   one; the result is the same.
+3. A bucket of more than WIDEST classes of surroundings is split, not gathered:
+   its windows are halved by how far they start before the anchor. All windows
+   of a half share more bytes than the anchor, and the hash of these is the next
+   bucket. Halves that are still too wide are halved again; after eight halvings
+   a bucket is one string, so no task ever holds a wide one.
+4. The other buckets are refined with their bytes in one task each, by bucket
+   pointers (see refine), and strings are compared as bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +37,10 @@ LENGTH = 200
 GRAM = 32
 SPAN = LENGTH - GRAM + 1  # places of an anchor in its window
 SEGMENT = 1 << 20  # window starts handled at once in a long text
-WIDEST = 8192  # classes of a bucket refined in one task, about 2 MB of text
-REFINED_AT_ONCE = 1 << 20  # bytes
+WIDEST = 1024  # classes of a bucket refined in one task, about 400 kB of text; wider ones are split
+REFINED_AT_ONCE = 1 << 18  # bytes
+TURNS = 4  # parts of a pass over the buckets; each part sees the pointers that those before it renewed
+ENDED = 1 << 14  # added to the depth of suffixes that are compared up to their text's end
 
 _rng = np.random.default_rng(7001)
 SIGNS = _rng.integers(1, 1 << 63, (2, 256), np.uint64)
@@ -94,59 +98,99 @@ def anchors(text: bytes) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, *[np.int64] * 3))
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(data), np.uint64)
-    for at in range(0, len(data) - GRAM + 1, SEGMENT):
-        part = data[at : at + SEGMENT + GRAM - 1]
-        place = np.arange(len(part) - GRAM + 1)
-        out[at : at + len(place)] = Hashes(part, 0).of(place, place + GRAM)
-    return out
-
+def _first_buckets(data: np.ndarray, room: np.ndarray, spare: int) -> tuple[np.ndarray, int]:
+    """The first bytes at each place as a number of at most 63 - ``spare`` bits, and how many bytes these are.
 
-def _order(key: np.ndarray) -> np.ndarray:
-    """An order that brings equal keys together; a plain sort of keys with their places, if that can tell keys apart."""
-    bits = np.uint64(max(1, len(key) - 1).bit_length())
-    place = np.arange(len(key), dtype=np.uint64)
-    if not len(key) or int(key.max()) >> 64 - int(bits) == 0:
-        packed = key << bits | place
-    else:
-        packed = key >> bits << bits | place
-    packed.sort()
-    order = (packed & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
-    ranked, shown = key[order], packed >> bits
-    if ((ranked[1:] != ranked[:-1]) & (shown[1:] == shown[:-1])).any():
+    Bytes are numbered in order over those at hand; a text's end comes before all of them.
+    """
+    there = np.bincount(data, minlength=256) > 0
+    rank = np.cumsum(there).astype(np.uint64)[data]
+    bits = int(there.sum()).bit_length()
+    width = max(1, (63 - spare) // bits)
+    key = np.zeros(len(data), np.uint64)
+    for k in range(width):
+        n = max(0, len(data) - k)
+        key <<= np.uint64(bits)
+        key[:n] |= np.where(room[:n] > k, rank[k:], np.uint64(0))
+    return key, width
+
+
+def _turned(key: np.ndarray, spare: int, used: int) -> np.ndarray:
+    """An order that sorts keys of ``used`` bits; packed with their places (``spare`` bits), where both fit in one number."""
+    if spare + used > 63:
         return np.argsort(key)
-    return order
+    packed = key.astype(np.uint64) << np.uint64(spare) | np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    return (packed & np.uint64((1 << spare) - 1)).astype(np.int64)
 
 
 def refine(data: np.ndarray, starts: np.ndarray, text_of: np.ndarray) -> np.ndarray:
     """Whether the LENGTH bytes at each start also stand at another start.
 
-    ``data`` holds texts end to end, ``text_of`` the number of each byte's text. Bucket
-    identifiers of depth GRAM come of hashes; each depth doubles by pairing them,
-    and only suffixes in buckets of two or more go on. A suffix never reaches into
-    the next text.
+    Bucket-pointer refinement. ``data`` holds texts end to end, ``text_of`` the number
+    of each byte's text. A suffix's pointer is the first place of its bucket in the
+    order, so pointers compare as suffixes do. A bucket of depth d is sorted by the
+    pointers of its suffixes' offsets d; a part that shares one pointer gains the depth
+    of the bucket pointed to. Pointers are renewed in place, TURNS times in each pass,
+    and later buckets sort by the renewed ones. Buckets of LENGTH bytes or more are
+    done. Neighbours of different buckets that may still share LENGTH bytes are
+    compared as bytes. A suffix never reaches into the next text.
     """
     size = len(data)
-    bucket = np.arange(size, dtype=np.int32)  # a bucket's identifier is one of its places
-    last = np.flatnonzero(np.r_[text_of[1:] != text_of[:-1], True]) if size else bucket
-    room = (last + 1)[text_of] - bucket  # bytes to the end of the text
-    live, depth = np.flatnonzero(room >= GRAM), GRAM
-    key = _gram_hashes(data)[live]
-    while len(live):
-        order = _order(key)
-        ranked, live = key[order], live[order]
-        first = np.r_[True, ranked[1:] != ranked[:-1]]
-        bucket[live] = live[first][np.cumsum(first, dtype=np.int32) - 1]
-        going = np.zeros(size, bool)
-        going[live[~(first & np.r_[first[1:], True])]] = True
-        if depth == LENGTH:
-            return going[starts]
-        step = min(depth, LENGTH - depth)
-        depth += step
-        live = np.flatnonzero(going & (room >= depth))
-        key = bucket[live].astype(np.uint64) * np.uint64(size) + bucket[live + step].astype(np.uint64)
-    return np.zeros(len(starts), bool)
+    repeated = np.zeros(size, bool)
+    if not size:
+        return repeated[starts]
+    last = np.flatnonzero(np.r_[text_of[1:] != text_of[:-1], True])
+    room = ((last + 1)[np.searchsorted(last, np.arange(size))] - np.arange(size)).astype(np.int32)  # bytes to the end of the text
+    spare = size.bit_length()
+    key, width = _first_buckets(data, room, spare)
+    order = _turned(key, spare, 63 - spare).astype(np.int32)
+    key = key[order]
+    first = np.r_[True, key[1:] != key[:-1]]
+    pointer, depth = np.empty(size, np.int32), np.where(room >= width, width, ENDED + room).astype(np.int16)
+    pointer[order] = np.flatnonzero(first).astype(np.int32)[np.cumsum(first) - 1]
+    known = np.zeros(size, np.int16)  # bytes that neighbours of different buckets share at least, and at most
+    most = np.full(size, width - 1, np.int16)
+    while True:
+        inside = ~(first & np.r_[first[1:], True])
+        live = np.flatnonzero(inside & (depth[order] < LENGTH))
+        if not len(live):
+            break
+        heads = np.flatnonzero(first[live])
+        cuts = sorted({0, len(live)} | {int(heads[i]) for i in np.searchsorted(heads, np.arange(1, TURNS) * len(live) // TURNS) if i < len(heads)})
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            at = live[low:high]
+            own = order[at]
+            d = depth[own]
+            later = own + d
+            there = room[own] > d
+            later[~there] = 0
+            key = pointer[own].astype(np.int64) << spare | np.where(there, pointer[later].astype(np.int64) + 1, 0)
+            gained = np.minimum(d + np.where(there, depth[later], ENDED), ENDED + LENGTH).astype(np.int16)
+            turn = _turned(key, spare, 2 * spare)
+            own, key, d = own[turn], key[turn], d[turn]
+            order[at] = own
+            head = np.r_[True, key[1:] != key[:-1]]
+            gained = gained[turn]
+            fresh = np.flatnonzero(head & ~first[at])
+            known[at[fresh]] = d[fresh]
+            most[at[fresh]] = np.minimum(gained[fresh], gained[fresh - 1]) - 1
+            first[at] = head
+            pointer[own] = at[head].astype(np.int32)[np.cumsum(head) - 1]
+            depth[own] = gained
+    same = np.flatnonzero(~first)
+    same = same[room[order[same]] >= LENGTH]
+    repeated[order[same]] = repeated[order[same - 1]] = True
+    near = np.flatnonzero(first[1:] & (most[1:] >= LENGTH)) + 1
+    near = near[(room[order[near]] >= LENGTH) & (room[order[near - 1]] >= LENGTH)]
+    near = near[np.argsort(known[near], kind="stable")]
+    for low in range(0, len(near), 1 << 12):
+        at = near[low : low + (1 << 12)]
+        a, b = order[at].astype(np.int64), order[at - 1].astype(np.int64)
+        along = np.arange(int(known[at[0]]), LENGTH)
+        equal = (data[a[:, None] + along] == data[b[:, None] + along]).all(axis=1)
+        repeated[a[equal]] = repeated[b[equal]] = True
+    return repeated[starts]
 
 
 def _runs(low: np.ndarray, flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,9 +218,9 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, whole.num_rows, 512):
             b = whole.slice(at, 512)
             found = [anchors(grow.decompress(x.as_py())) for x in b.column(1)]
-            gram, around, _, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+            gram, around, place, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
             rows = np.repeat(b.column(0).to_numpy(), [len(x[0]) for x in found])
-            yield _batch({"gram": (gram.view(np.int64), pa.int64()), "around": (around.view(np.int64), pa.int64()), "row": (rows, pa.int64()), "low": (low.astype(np.int32), pa.int32()), "high": (high.astype(np.int32), pa.int32())})
+            yield _batch({"gram": (gram.view(np.int64), pa.int64()), "around": (around.view(np.int64), pa.int64()), "row": (rows, pa.int64()), "lead": ((place - low).astype(np.int16), pa.int16()), "low": (low.astype(np.int32), pa.int32()), "high": (high.astype(np.int32), pa.int32())})
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,9 +231,9 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             out: list[tuple] = []
             for row, packed, places in zip(*[c.to_pylist() for c in whole.slice(at, 256).columns], strict=True):
                 text = grow.decompress(packed)
-                out += [(p["gram"], p["wide"], row, p["low"], p["high"], p["open"], text[p["low"] : p["high"] + LENGTH]) for p in places]
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            yield _batch(dict(zip(("gram", "wide", "row", "low", "high", "open", "bytes"), zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()), strict=True), strict=True)))
+                out += [(p["gram"], p["wide"], row, p["low"] + p["lead"], p["low"], p["high"], p["open"], text[p["low"] : p["high"] + LENGTH]) for p in places]
+            cols = list(zip(*out, strict=True)) or [()] * 8
+            yield _batch(dict(zip(("gram", "wide", "row", "place", "low", "high", "open", "bytes"), zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()), strict=True), strict=True)))
 
 
 def _refine_rows(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -228,14 +272,33 @@ def _refine_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield _refine_rows(held)
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of wide buckets to one row for each half of their windows.
+
+    ``nearest`` and ``farthest`` bound how far a bucket's windows start before the
+    anchor. The bytes that all windows of a half share name its bucket.
+    """
+    names = ("gram", "around", "row", "place", "nearest", "farthest", "low", "high", "open", "bytes")
+    types = (*[pa.int64()] * 3, *[pa.int32()] * 5, pa.bool_(), pa.binary())
     for whole in batches:
         for at in range(0, whole.num_rows, 1024):
-            b = whole.slice(at, 1024)
-            low, high = (b.column(c).to_numpy().astype(np.int64) for c in ("low", "high"))
-            owner, number = _windows(low, high)
-            hashes = np.concatenate([Hashes(np.frombuffer(x, np.uint8), 1).of(n, n + LENGTH) for x, n in ((x.as_py(), np.arange(h - lo + 1)) for x, lo, h in zip(b.column("bytes"), low, high, strict=True))])
-            yield _batch({"gram": (b.column("gram").to_numpy()[owner], pa.int64()), "window": (hashes.view(np.int64), pa.int64()), "row": (b.column("row").to_numpy()[owner], pa.int64()), "start": (low[owner] + number, pa.int64()), "open": (b.column("open").to_numpy(zero_copy_only=False)[owner], pa.bool_())})
+            out: list[tuple] = []
+            for r in whole.slice(at, 1024).to_pylist():
+                middle = (r["nearest"] + r["farthest"]) // 2
+                for near, far in ((r["nearest"], middle), (middle + 1, r["farthest"])):
+                    low, high = max(r["low"], r["place"] - far), min(r["high"], r["place"] - near)
+                    if low > high:
+                        continue
+                    own = r["bytes"][low - r["low"] : high - r["low"] + LENGTH]
+                    shared = r["bytes"][r["place"] - near - r["low"] : r["place"] - far - r["low"] + LENGTH]
+                    name = xxhash.xxh3_64_intdigest(shared, near << 16 | far)
+                    out.append((_signed(name), _signed(xxhash.xxh3_64_intdigest(own)), r["row"], r["place"], near, far, low, high, r["open"], own))
+            cols = list(zip(*out, strict=True)) or [()] * len(names)
+            yield _batch({n: (c, t) for n, c, t in zip(names, cols, types, strict=True)})
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -251,24 +314,47 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def repeated_spans(packed: DataFrame, scratch: Scratch) -> DataFrame:
     """``(row, spans)`` for each text of ``(row, packed)`` with repeats: byte ranges, not yet merged."""
-    seen = scratch.keep(packed.mapInArrow(_anchor_rows, "gram long, around long, row long, low int, high int"), "anchors")
+    seen = scratch.keep(packed.mapInArrow(_anchor_rows, "gram long, around long, row long, lead short, low int, high int"), "anchors")
     counts = seen.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b"))
     # Counts are written before they are joined: a join whose sides are plain shuffles can split a bucket that holds very many rows.
     buckets = scratch.keep(counts.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed")), "buckets")
     shared = scratch.keep(seen.join(buckets, "gram"), "shared")
-    scratch.drop(seen)
+    scratch.drop(seen, buckets)
     mixed = shared.where("mixed").drop("mixed")
     classes = scratch.keep(mixed.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min("row").alias("first")), "members")
     wide = scratch.keep(classes.groupBy("gram").agg((F.count("*") > WIDEST).alias("wide")), "wide")
     placed = scratch.keep(mixed.join(classes.join(wide, "gram"), ["gram", "around"]), "classes")
-    whole = shared.where("not mixed").select("row", "low", "high").union(placed.where("n > 1").select("row", "low", "high")).select("row", F.col("low").cast("long").alias("start"), (F.col("high") + LENGTH).cast("long").alias("end"))
-    wanted = placed.where("n = 1 or row = first").groupBy("row").agg(F.collect_list(F.struct("gram", "wide", "low", "high", (F.col("n") == 1).alias("open"))).alias("places"))
-    around = scratch.keep(packed.join(wanted, "row").select("row", "packed", "places").mapInArrow(_surroundings, "gram long, wide boolean, row long, low int, high int, open boolean, bytes binary"), "bytes")
-    some = around.where("not wide").repartition("gram").sortWithinPartitions("gram").mapInArrow(_refine_buckets, "row long, start long, end long")
-    each = around.where("wide").mapInArrow(_window_rows, "gram long, window long, row long, start long, open boolean")
-    again = each.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "window")
-    many = each.where("open").join(again, ["gram", "window"]).select("row", "start", (F.col("start") + LENGTH).alias("end"))
-    return whole.union(some).union(many).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    span = lambda df: df.select("row", F.col("low").cast("long").alias("start"), (F.col("high") + LENGTH).cast("long").alias("end"))
+    found = [span(shared.where("not mixed")), span(placed.where("n > 1"))]
+    wanted = placed.where("n = 1 or row = first").groupBy("row").agg(F.collect_list(F.struct("gram", "wide", "lead", "low", "high", (F.col("n") == 1).alias("open"))).alias("places"))
+    around = scratch.keep(packed.join(wanted, "row").select("row", "packed", "places").mapInArrow(_surroundings, "gram long, wide boolean, row long, place int, low int, high int, open boolean, bytes binary"), "bytes")
+    small = [around.where("not wide")]
+    rows = around.where("wide").withColumns({"nearest": F.lit(0), "farthest": F.lit(SPAN - 1)})
+    if not wide.where("wide").isEmpty():
+        whole, narrow = _split_wide(rows, scratch)
+        found, small = found + [span(df) for df in whole], small + narrow
+    small = [df.select("gram", "row", "low", "high", "open", "bytes") for df in small]
+    found.append(reduce(DataFrame.union, small).repartition("gram").sortWithinPartitions("gram").mapInArrow(_refine_buckets, "row long, start long, end long"))
+    spans = scratch.keep(reduce(DataFrame.union, found).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    scratch.drop(shared, classes, wide, placed, around)
+    return spans
+
+
+def _split_wide(rows: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Wide buckets halved until none is wide: rows whose windows all repeat, and rows of narrow buckets."""
+    whole, narrow = [], []
+    while True:
+        halves = scratch.keep(rows.mapInArrow(_halves, "gram long, around long, row long, place int, nearest int, farthest int, low int, high int, open boolean, bytes binary"), "halves")
+        classes = scratch.keep(halves.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("row", "low")).alias("first")), "members")
+        sizes = scratch.keep(classes.groupBy("gram").agg(F.count("*").alias("k")), "sizes")
+        placed = scratch.keep(halves.join(classes.join(sizes, "gram"), ["gram", "around"]), "classes")
+        scratch.drop(halves, classes)
+        whole.append(placed.where("n > 1 and open"))
+        kept = placed.where((F.col("n") == 1) | (F.struct("row", "low") == F.col("first"))).withColumn("open", F.col("open") & (F.col("n") == 1))
+        narrow.append(kept.where(F.col("k").between(2, WIDEST)))
+        rows = kept.where(F.col("k") > WIDEST).drop("around", "n", "first", "k")
+        if sizes.where(F.col("k") > WIDEST).isEmpty():
+            return whole, narrow
 
 
 def without_repeats(docs: DataFrame, finish: Callable[[bytes, list[tuple[int, int]]], tuple], out: list[tuple[str, str, pa.DataType]], text_col: str = "text") -> DataFrame:
@@ -295,7 +381,7 @@ def without_repeats(docs: DataFrame, finish: Callable[[bytes, list[tuple[int, in
 
     packed = scratch.keep(rows.select("__row", F.col(text_col).cast("string").alias("__text"), *others).mapInArrow(pack, ", ".join(["__row long, __packed binary, __there boolean", *[kinds] * bool(kinds)])), "texts")
     texts = packed.select(F.col("__row").alias("row"), F.col("__packed").alias("packed"))
-    spans = scratch.keep(repeated_spans(texts, scratch), "spans")
+    spans = repeated_spans(texts, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grow = zstandard.ZstdDecompressor()
