@@ -4,7 +4,7 @@ Every step is a minimum per vertex (partly aggregated before its shuffle) and a
 join with it. The minima are written before they are joined, so that both sides
 of the join are plain shuffles, which adaptive execution can split: a hub with
 very many neighbours is never gathered in one task. Each round is written to the
-shared folder; rounds grow with the logarithm of the longest chain.
+shared folder; rounds grow with the logarithm of the longest chain, and end when all edges are stars.
 """
 
 from __future__ import annotations
@@ -31,17 +31,19 @@ def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether no vertex has two lesser neighbours, or both a lesser and a greater one."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("top")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("low").alias("low"), F.max("top").alias("top")).where("low > 1 or (low = 1 and top = 1)").isEmpty()
+
+
 def star_forest(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges ``(u, v)`` of longs with ``u > v`` to ``(u, v)`` with v the least vertex of u's component.
 
-    The least vertex itself has no row. There must be no self-loops.
+    The least vertex itself has no row. There must be no self-loops. Repeated edges
+    count once; without edges there are no rows.
     """
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    now = scratch.keep(edges, "edges")
-    seen = mark(now)
-    while seen[0]:
+    now = scratch.keep(edges.distinct(), "edges")
+    while not _settled(now):
         now = _small_star(_large_star(now, scratch), scratch)
-        before, seen = seen, mark(now)
-        if seen == before:
-            break
     return now

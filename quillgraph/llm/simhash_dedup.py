@@ -12,8 +12,8 @@ no size bound.
 The pipeline's stage asks for more than the query: five-word shingles alike by
 0.8 or more, where some ten bits differ. A search of radius NEAR_RADIUS would
 pass nearly every edge of a tree and no block of bits need agree, so there the
-shards are named by MinHash bands, the fingerprints of a shard's group are
-scanned, and what lies within the radius is verified on the shingles themselves.
+shards are named by MinHash bands, and pairs of a shard whose fingerprints lie
+within the radius are verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ SHARDS_AT_ONCE = 1 << 18
 WIDTH = 5  # words, of the stage's shingles
 LEAST = 0.8
 NEAR_RADIUS = 26  # 4.5 deviations above the mean at 0.8 for texts of five shingles, more for longer ones
+FEW = 32  # texts of a band outside its largest component whose pairs are emitted; more are compared in blocks
+BLOCK_TEXTS = 512
 BANDS, ROWS = 32, 4  # a pair alike by 0.8 shares no band with a chance of 5e-8
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -190,88 +192,191 @@ def _bands(h: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        shingles = [near_shingles(x.as_py()) for x in batch.column(1)]
-        keys = np.array([_key(h) for h in shingles], np.uint64).view(np.int64)
-        bands = np.array([_bands(h) for h in shingles], np.uint64).view(np.int64).ravel()
-        ends = pa.array(np.arange(len(shingles) + 1, dtype=np.int32) * BANDS)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.ListArray.from_arrays(ends, pa.array(bands))], names=["doc", "key", "bands"])
-
-
-def near_labels(shingles: list[np.ndarray]) -> np.ndarray:
-    """For each text the least position that links of similarity LEAST or more reach.
-
-    A text is compared with the nearest fingerprints first, and with no further text
-    of a component it has joined, so that a large group of copies takes few comparisons.
-    """
-    size = np.array([len(h) for h in shingles])
-    prints = np.array([_print_of(h) for h in shingles], np.uint64)
-    label = np.arange(len(shingles))
-    for q in range(1, len(shingles)):
-        far = np.bitwise_count(prints[:q] ^ prints[q])
-        left = np.flatnonzero((far <= NEAR_RADIUS) & (np.minimum(size[:q], size[q]) >= LEAST * np.maximum(size[:q], size[q])))
-        left = left[np.argsort(far[left], kind="stable")]
-        while len(left):
-            p = left[0]
-            both = len(np.intersect1d(shingles[p], shingles[q], assume_unique=True))
-            left = left[1:]
-            if both >= LEAST * (size[p] + size[q] - both):
-                a, b = sorted((label[p], label[q]))
-                label[label == b] = a
-                left = left[label[left] != a]
-    return label
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
+            rows = []
+            for x in batch.column(1):
+                h = near_shingles(x.as_py())
+                rows.append((_key(h), _print_of(h), len(h), _bands(h)))
+            keys, prints, sizes, bands = zip(*rows, strict=True)
+            signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64).ravel())
+            ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed(keys), signed(prints), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, signed(bands))], names=["doc", "key", "fp", "size", "bands"])
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted arrays of distinct shingles have a similarity of LEAST or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= LEAST * (len(a) + len(b) - both)
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(key, text)`` to the key's shingles; a row whose text is another one of the same id is left out."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            keys, found = [], []
+            for key, text in zip(*whole.slice(at, 1024).columns, strict=True):
+                h = near_shingles(text.as_py())
+                if np.uint64(_key(h)).astype(np.int64) == key.as_py():
+                    keys.append(key.as_py())
+                    found.append(h.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], names=["key", "shingles"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by coarse group; each group's texts to their keys and their component's key."""
-    group, held = None, {}
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            b = whole.slice(at, 1024)
+            ok = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+
+def block_links(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (in left, in right) of all pairs with a similarity of LEAST or more, by counts of shared shingles."""
+    size = np.array([len(h) for h in right])
+    owner = np.repeat(np.arange(len(right)), size)
+    every = np.concatenate([*right, np.zeros(0, np.uint64)])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
+    for at, h in enumerate(left):
+        both = np.zeros(len(right), np.int64)
+        for part in range(0, len(h), 1 << 12):
+            low, high = (np.searchsorted(every, h[part : part + (1 << 12)], side) for side in ("left", "right"))
+            n = high - low
+            both += np.bincount(owner[np.repeat(high - np.cumsum(n), n) + np.arange(n.sum())], minlength=len(right))
+        hit = np.flatnonzero(both >= LEAST * (len(h) + size - both))
+        found.append((np.full(len(hit), at), hit))
+    a, b = zip(*found, strict=True)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(band, i, j, block, key, shingles)`` sorted by the first three: a star of links for each pair of blocks."""
+    now, sides = None, ([], [])
 
     def done() -> pa.RecordBatch:
-        keys = np.array(list(held), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys[near_labels(list(held.values()))])], names=["key", "root"])
-
-    for batch in batches:
-        for root, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if root != group:
-                if held:
-                    yield done()
-                group, held = root, {}
-            h = near_shingles(text.as_py())
-            if key not in held and np.uint64(_key(h)).astype(np.int64) == key:
-                held[key] = h
-    if held:
+        first, second = sides[0], sides[1] if now[1] != now[2] else sides[0]
+        a, b = block_links([h for _, h in first], [h for _, h in second])
+        keys = np.array([k for side in sides for k, _ in side], np.int64)
+        label = least_linked(len(keys), a, b + (len(first) if second is not first else 0))
+        other = np.flatnonzero(label != np.arange(len(keys)))
+        x, y = keys[other], keys[label[other]]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["u", "v"])
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            b = whole.slice(at, 1024)
+            for band, i, j, block, key, shingles in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (band, i, j) != now:
+                    if now:
+                        yield done()
+                    now, sides = (band, i, j), ([], [])
+                sides[block != i].append((key, np.frombuffer(shingles, np.uint64)))
+    if now:
         yield done()
 
 
+class _Linker:
+    """Verifies pairs of text keys, and names the components of the links found so far."""
+
+    def __init__(self, own: DataFrame, classes: DataFrame, scratch: Scratch):
+        self.own, self.classes, self.scratch = own, classes, scratch
+        self.links: DataFrame | None = None
+        self.tested: DataFrame | None = None
+
+    def add(self, pairs: DataFrame) -> None:
+        """``(u, v)``, u > v: those within the bounds of fingerprints and sizes are compared on their shingles."""
+        part = lambda name: self.classes.select(F.col("key").alias(name), F.col("fp").alias(f"{name}_fp"), F.col("size").alias(f"{name}_size"))
+        new = pairs.distinct() if self.tested is None else pairs.distinct().join(self.tested, ["u", "v"], "left_anti")
+        near = F.bit_count(F.col("u_fp").bitwiseXOR(F.col("v_fp"))) <= NEAR_RADIUS
+        fits = F.least("u_size", "v_size") >= F.lit(LEAST) * F.greatest("u_size", "v_size")
+        # Pairs and shingles are written before they are joined, so that a hub's rows can be split.
+        open_ = self.scratch.keep(new.join(part("u"), "u").join(part("v"), "v").where(near & fits).select("u", "v"), "pairs")
+        self.tested = open_ if self.tested is None else self.tested.union(open_)
+        shingles = self._shingles(open_.select(F.col("u").alias("key")).union(open_.select(F.col("v").alias("key"))))
+        side = lambda name: shingles.select(F.col("key").alias(name), F.col("shingles").alias(f"{name}_shingles"))
+        both = open_.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_shingles", "v_shingles")
+        self._keep(both.mapInArrow(_verify, "u long, v long"))
+        self.scratch.drop(shingles)
+
+    def add_blocks(self, members: DataFrame) -> None:
+        """All pairs of the members ``(band, key, total)`` of each band: in blocks of about BLOCK_TEXTS texts, two to a task."""
+        blocks = F.ceil(F.col("total") / BLOCK_TEXTS).cast("int")
+        own = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = self.scratch.keep(own.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key"), "blocks")
+        shingles = self._shingles(members.select("key"))
+        rows = dealt.join(shingles, "key").select("band", "i", "j", "block", "key", "shingles").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+        self._keep(rows.mapInArrow(_verify_blocks, "u long, v long").distinct())
+        self.scratch.drop(shingles, dealt)
+
+    def _shingles(self, keys: DataFrame) -> DataFrame:
+        texts = self.own.join(self.classes.join(keys.distinct(), "key").select(F.col("least").alias("doc"), "key"), "doc").select("key", "text")
+        return self.scratch.keep(texts.mapInArrow(_shingle_rows, "key long, shingles binary").dropDuplicates(["key"]), "shingles")
+
+    def _keep(self, found: DataFrame) -> None:
+        links = self.scratch.keep(found, "links")
+        self.links = links if self.links is None else self.links.union(links)
+
+    def labels(self) -> DataFrame:
+        """``(key, label)`` for keys that are not the least of their component."""
+        return star_forest(self.links, self.scratch).select(F.col("u").alias("key"), F.col("v").alias("label"))
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, component_id)``, one row for each distinct text of an id; rows with a null id have none.
 
     Texts whose bags of five-word shingles are alike by LEAST or more (weighted
-    Jaccard) are linked. Texts that share a MinHash band form coarse groups, and
-    each group is verified in one task, which holds its distinct texts' shingles.
+    Jaccard) are linked. Candidates share a MinHash band; a band's texts are never
+    gathered, but compared in two rounds of pairs, joined and verified:
+
+    1. each text with the least text of each of its bands;
+    2. in bands that still hold several components, the texts outside the band's
+       largest one with all texts of other components. Bands with more than FEW such
+       texts are compared in blocks, which emit a row per text and block, not pairs.
+
+    After the second round every pair of a band is compared or in one component, so no
+    link is lost, and a large group of copies costs a pair or two for each text. Only
+    a band of many texts that are not alike (0.5 to 0.8, say) costs comparisons by the
+    square of its size; they are spread over its blocks.
     """
     scratch = Scratch(docs.sparkSession, "near")
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    rows = scratch.keep(own.mapInArrow(_sketches, f"doc {kind}, key long, bands array<long>"), "sketches")
-    classes = scratch.keep(rows.groupBy("key").agg(F.min("doc").alias("least"), F.first("bands").alias("bands")), "texts")
+    rows = scratch.keep(own.mapInArrow(_sketches, f"doc {kind}, key long, fp long, size long, bands array<long>"), "sketches")
+    classes = scratch.keep(rows.groupBy("key").agg(F.min("doc").alias("least"), *[F.first(c).alias(c) for c in ("fp", "size", "bands")]), "texts")
     shards = classes.select("key", F.explode("bands").alias("band"))
     least = scratch.keep(shards.groupBy("band").agg(F.min("key").alias("m"), F.count("*").alias("n")).where("n > 1").select("band", "m"), "shards")
-    links = shards.join(least, "band").where("key <> m").select(F.col("key").alias("u"), F.col("m").alias("v")).distinct()
-    stars = star_forest(links, scratch)
-    member = stars.select(F.col("u").alias("key"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
-    texts = own.join(classes.join(member, "key").select(F.col("least").alias("doc"), "key", "root"), "doc").select("root", "key", "text")
-    verified = scratch.keep(texts.repartition("root").sortWithinPartitions("root", "key").mapInArrow(_verify, "key long, root long"), "verified")
-    rooted = classes.drop("bands").join(verified, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
-    return rows.select("doc", "key").distinct().join(rooted.join(named, "root").select("key", "component_id"), "key").select("doc", "component_id")
+    shared = scratch.keep(shards.join(least, "band"), "shared")
+    pair = lambda u, v: (F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
+    linker = _Linker(own, classes, scratch)
+    linker.add(shared.where("key <> m").select(*pair("key", "m")))
+    tagged = shared.join(linker.labels(), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    parts = scratch.keep(tagged.groupBy("band", "label").agg(F.count("*").alias("n")), "parts")
+    mixed = parts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), F.sum("n").alias("total"), (F.sum("n") - F.max("n")).alias("few")).where("labels > 1").drop("labels")
+    apart = scratch.keep(tagged.join(mixed, "band"), "apart")
+    linker.add_blocks(apart.where(F.col("few") > FEW).select("band", "key", "total"))
+    narrow = apart.where(F.col("few") <= FEW)
+    few = narrow.where("label <> most").select("band", F.col("key").alias("a"), F.col("label").alias("a_label"))
+    linker.add(few.join(narrow.select("band", F.col("key").alias("b"), F.col("label").alias("b_label")), "band").where("a_label <> b_label").select(*pair("a", "b")))
+    label = linker.labels()
+    rooted = classes.select("key", "least").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = scratch.keep(rooted.groupBy("label").agg(F.min("least").alias("component_id")), "names")
+    return rows.select("doc", "key").distinct().join(rooted.join(named, "label").select("key", "component_id"), "key").select("doc", "component_id")
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is their component's least (see near_components); of rows that share it, an arbitrary one.
+    """The documents whose id is their component's least (see near_components); of rows that share it, the least by all columns.
 
-    Rows with a null id stay. Columns are unchanged.
+    Rows with a null id stay. Columns are unchanged. Only ids are joined with the
+    texts; only rows whose id another kept row has are compared.
     """
     kept = near_components(docs, id_col, text_col).where("doc = component_id").select(F.col("doc").alias(id_col)).distinct()
-    out = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return out.unionByName(docs.where(F.col(id_col).isNull()))
+    scratch = Scratch(docs.sparkSession, "kept")
+    rows = scratch.keep(docs.join(kept, id_col, "left_semi"), "rows")
+    again = scratch.keep(rows.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col), "again")
+    once = rows.join(again, id_col, "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    first = rows.join(again, id_col, "left_semi").groupBy(F.col(id_col).alias("__id")).agg(F.min(F.struct(*columns)).alias("__row")).select("__row.*")
+    return once.unionByName(first).unionByName(docs.where(F.col(id_col).isNull()))
