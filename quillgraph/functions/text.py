@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,19 +53,24 @@ def replace_bullets(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "\n"), line), "\n")
 
 
-def clean_page(text: Column) -> Column:
-    """The formula steps of page text in order."""
+def clean_page(text: Column, formula: Callable[[Column], Column] | None = None) -> Column:
+    """The formula steps of page text in order; a handler of one's own takes their place."""
+    if formula:
+        return formula(text)
     return replace_bullets(replace_formula_text(convert_latex(text)))
 
 
-def with_image_mark(text: Column, has_image: Column) -> Column:
-    """Pages with an image start with its placeholder on a line."""
+def with_image_mark(text: Column, has_image: Column, image: Callable[[Column], Column] | None = None) -> Column:
+    """Pages with an image start with its placeholder on a line; a handler of one's own is given their text instead."""
+    if image:
+        return F.when(has_image, image(text)).otherwise(text)
     return F.when(has_image, F.concat(F.lit(IMAGE + "\n"), text)).otherwise(text)
 
 
-def replace_patterns(text: Column, patterns: tuple[str, ...], placeholder: str) -> Column:
+def replace_patterns(text: Column, patterns: tuple[str, ...], placeholder: str | Callable[[Column], Column]) -> Column:
     """Matches become the placeholder, on lines of its own where a match holds two or more newlines.
 
+    In place of a placeholder a function makes each match's replacement of the match.
     Matches are marked with control characters, cut apart and rebuilt. Control
     characters 1 and 2 of the input would be taken for marks and are removed.
     """
@@ -72,15 +79,15 @@ def replace_patterns(text: Column, patterns: tuple[str, ...], placeholder: str)
     def rebuilt(part: Column) -> Column:
         inner, rest = F.substring_index(part, "\x02", 1), F.substring_index(part, "\x02", -1)
         lines = F.length(inner) - F.length(F.replace(inner, F.lit("\n"), F.lit("")))
-        mark = F.when(lines > 1, F.lit(f"\n{placeholder}\n")).otherwise(F.lit(placeholder))
+        mark = placeholder(inner) if callable(placeholder) else F.when(lines > 1, F.lit(f"\n{placeholder}\n")).otherwise(F.lit(placeholder))
         return F.when(F.contains(part, F.lit("\x02")), F.concat(mark, rest)).otherwise(part)
 
     return F.array_join(F.transform(F.split(marked, "\x01"), rebuilt), "")
 
 
-def clean_markdown(text: Column) -> Column:
-    """Images, then formulas, to placeholders."""
-    return replace_patterns(replace_patterns(text, IMAGE_PATTERNS, IMAGE), FORMULA_PATTERNS, FORMULA)
+def clean_markdown(text: Column, image: str | Callable[[Column], Column] = IMAGE, formula: str | Callable[[Column], Column] = FORMULA) -> Column:
+    """Images, then formulas, to placeholders or to what handlers make of them."""
+    return replace_patterns(replace_patterns(text, IMAGE_PATTERNS, image), FORMULA_PATTERNS, formula)
 
 
 def key_values(text: Column, quoted_fix: bool = False) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillgraph.functions.text import fixed_chunks
+
 #: Fixed value: the block grammar, which decides where text may be cut.
 BLOCKS = re.compile(
     r"(\n\#{1,6}\s+.*?)(?=\n\#|$)|(\n\*{3,})|(\n```.*?\n```)|(\n\|.*?\|)|(\n[-*+].*?(?:\n[ \t]+.*?)*)|(\n\d+\..*?(?:\n[ \t]+.*?)*)|(\n[ \t]+[-*+].*?)|(\n\n+)",
@@ -57,6 +59,14 @@ def with_structural_chunks(docs: DataFrame, text_col: str = "text", max_length:
     return docs.select(*rest, F.posexplode(cut(F.col(text_col))).alias("chunk_no", "chunk"))
 
 
+def chunks_by_kind(docs: DataFrame, file_col: str = "file", text_col: str = "text", size: int = 4096, tolerance: int = 200) -> DataFrame:
+    """Chunks of Markdown files (``.md``) at blocks, of all others by ``size`` characters."""
+    markdown = F.endswith(F.col(file_col), F.lit(".md"))
+    rest = [c for c in docs.columns if c != text_col]
+    slices = docs.where(~markdown).select(*rest, F.posexplode(fixed_chunks(F.col(text_col), size)).alias("chunk_no", "chunk"))
+    return with_structural_chunks(docs.where(markdown), text_col, size, tolerance).unionByName(slices)
+
+
 def budget_batches(items: DataFrame, index: str = "idx", length: str = "len", size: int = 16, tokens: int = 4096) -> DataFrame:
     """Items with their ``batch`` and whether they are ``kept`` within the token budget.
 

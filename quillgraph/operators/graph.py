@@ -12,14 +12,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillgraph.operators.sequences import dense_rank_ids
+from quillgraph.sources.scratch import Scratch
+
+
+def least_rows(df: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row for each key: the least by ``order``, else by all columns. Columns of map type are compared by their entries."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    plain = [F.to_json(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in df.schema]
+    first = F.struct(*([F.col(order)] if order else []), *plain)
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*columns), first).alias("__row")).select("__row.*")
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Rows of ``old`` with values of ``new`` laid over them by key, and the new keys.
 
-    Null values of ``new`` keep the old ones. Of new rows with one key an
-    arbitrary one counts; columns missing on a side are null there.
+    Null values of ``new`` keep the old ones. Of new rows with one key the least
+    counts; columns missing on a side are null there.
     """
-    new = new.where(F.col(key).isNotNull()).dropDuplicates([key])
+    new = least_rows(new.where(F.col(key).isNotNull()), [key])
     names = list(dict.fromkeys([*old.columns, *new.columns]))
     pick = lambda c: F.coalesce(*[F.col(f"{s}.{c}") for s, df in (("n", new), ("o", old)) if c in df.columns]).alias(c)
     return old.alias("o").join(new.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full").select(*map(pick, names))
@@ -36,9 +47,9 @@ def with_stubs(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def merge_edges(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Adds only edges that are not there; of equal keys one stays."""
+    """Adds only edges that are not there; of equal keys the least row stays."""
     keys = keys or ["src", "dst", "type"]
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+    return old.unionByName(least_rows(new, keys).join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
 def append_edges(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -84,12 +95,13 @@ def first_and_rest(df: DataFrame, key: str, order: list[str]) -> tuple[DataFrame
 
 
 def dedup_edges(edges: DataFrame, keys: list[str] | None = None, order: str | None = None) -> DataFrame:
-    """One edge for each (src, dst, type): the least by ``order``, else an arbitrary one."""
-    keys = keys or ["src", "dst", "type"]
-    if order is None:
-        return edges.dropDuplicates(keys)
-    least = edges.groupBy(*keys).agg(F.min_by(F.struct(*edges.columns), order).alias("e"))
-    return least.select("e.*")
+    """One edge for each (src, dst, type): the least by ``order``, and by all columns."""
+    return least_rows(edges, keys or ["src", "dst", "type"], order)
+
+
+def delete_all(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables without rows, for writers that overwrite a graph."""
+    return vertices.where("false"), edges.where("false")
 
 
 def dedup_vertices(vertices: DataFrame, edges: DataFrame, name: str, order: str) -> tuple[DataFrame, DataFrame]:
@@ -154,37 +166,32 @@ def discover(links: DataFrame, start: str, max_depth: int = 2, max_nodes: int =
     is expanded while fewer than ``max_nodes`` are known before its turn, and only
     above ``max_depth``. Edges ``(src_idx, dst_idx, pos, text)`` keep repeats.
 
-    At most ``max_nodes`` and one page's links are ever numbered, so the numbering
-    of a level is small whatever the size of ``links``; the frontier is broadcast
-    within that bound.
+    Known vertices are a table that each level adds to; only a level's count comes
+    to the driver. Turns are summed over the expanded pages, of which there are at
+    most ``max_nodes``.
     """
     spark = links.sparkSession
-    known = [(0, start, 0)]
-    frontier = list(known)
-    edges: list[DataFrame] = []
-    schema = "idx long, id string, depth int"
-    vertices = spark.createDataFrame(known, schema)
+    scratch = Scratch(spark, "discover")
+    vertices = spark.createDataFrame([(0, start, 0)], "idx long, id string, depth int")
+    frontier, known, edges = vertices, 1, []
     for depth in range(max_depth):
-        if not frontier:
-            break
-        # Parents in turn until the known vertices reach the limit.
-        near = F.broadcast(spark.createDataFrame(frontier, schema))
-        out = links.join(near, links["src"] == near["id"]).select(F.col("idx").alias("parent"), "pos", "dst", "text")
+        near = frontier.select(F.col("idx").alias("parent"), F.col("id").alias("src"))
+        out = scratch.keep(links.join(near, "src").select("parent", "pos", "dst", "text"), "links")
         first = out.groupBy("dst").agg(F.min(F.struct("parent", "pos")).alias("at"))
-        fresh = first.join(F.broadcast(vertices.select(F.col("id").alias("dst"))), "dst", "left_anti")
-        per_parent = dict(fresh.groupBy("at.parent").count().collect())
-        count, expanded = len(known), []
-        for idx, _, _ in frontier:
-            if count >= max_nodes:
-                break
-            expanded.append(idx)
-            count += per_parent.get(idx, 0)
-        rows = fresh.where(F.col("at.parent").isin(expanded)).orderBy("at.parent", "at.pos").select("dst").collect()
-        frontier = [(len(known) + i, r[0], depth + 1) for i, r in enumerate(rows)]
-        known += frontier
-        vertices = spark.createDataFrame(known, schema)
-        edges.append(out.where(F.col("parent").isin(expanded)))
-    ids = F.broadcast(vertices.select(F.col("idx").alias("dst_idx"), F.col("id").alias("dst")))
+        fresh = scratch.keep(first.join(vertices.select(F.col("id").alias("dst")), "dst", "left_anti").select("dst", "at.parent", "at.pos"), "fresh")
+        # Parents in turn until the known vertices reach the limit.
+        found = near.select("parent").join(fresh.groupBy("parent").agg(F.count("*").alias("n")), "parent", "left")
+        before = F.coalesce(F.sum("n").over(W.orderBy("parent").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        turns = scratch.keep(found.withColumn("before", before).where(F.col("before") + known < max_nodes).select("parent"), "turns")
+        new = fresh.join(turns, "parent", "left_semi")
+        edges.append(out.join(turns, "parent", "left_semi"))
+        frontier = scratch.keep(dense_rank_ids(new, ["parent", "pos", "dst"], known).select("id", "dst").select(F.col("id").cast("long").alias("idx"), F.col("dst").alias("id"), F.lit(depth + 1).alias("depth")), "frontier")
+        count = frontier.count()
+        if not count:
+            break
+        known += count
+        vertices = vertices.union(frontier)
+    ids = vertices.select(F.col("idx").alias("dst_idx"), F.col("id").alias("dst"))
     none = links.where("false").select(F.lit(0).cast("long").alias("parent"), "pos", "dst", "text")
     found = reduce(DataFrame.union, edges, none).join(ids, "dst").select(F.col("parent").alias("src_idx"), "dst_idx", "pos", "text")
     return vertices, found

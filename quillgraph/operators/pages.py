@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -119,6 +121,66 @@ def select(page: str | None, tag: str | None = None, classes: str = "") -> list[
     return [e.text() for e in _Tree(page or "").root.having(classes, tag)]
 
 
+_STEP = re.compile(r"(>?)\s*([\w-]+|\*)?((?:[.#][\w-]+|\[[^\]]+\])*)\s*")
+_MARK = re.compile(r"([.#])([\w-]+)|\[\s*([\w:-]+)\s*(?:=\s*[\"']?([^\"'\]]*)[\"']?)?\s*\]")
+
+
+def select_css(page: str | None, selector: str) -> list[str]:
+    """Texts of the elements of a CSS selector, in page order, each once.
+
+    Tags, classes, ids, attributes with or without value, descendants, children and
+    lists by comma. Selectors of other kinds give none.
+    """
+    root, found = _Tree(page or "").root, []
+    for part in selector.split(","):
+        at, hits, part = 0, [root], part.strip()
+        while at < len(part):
+            step = _STEP.match(part, at)
+            if step.end() == at or not (step[2] or step[3]):
+                hits = []
+                break
+            at, marks = step.end(), _MARK.findall(step[3])
+
+            def fits(e: _Element, tag: str | None = step[2], marks: list = marks) -> bool:
+                own = lambda kind, name, key, value: name in e.classes if kind == "." else e.attrs.get("id") == name if kind == "#" else key in e.attrs and value in ("", e.attrs[key])
+                return tag in (None, "", "*", e.tag) and all(own(*m) for m in marks)
+
+            below = lambda e, child=step[1]: [c for c in e.children if isinstance(c, _Element)] if child else e.all()
+            hits = list({id(e): e for h in hits for e in below(h) if fits(e)}.values())
+        found += hits if part else []
+    order = {id(e): n for n, e in enumerate(root.all())}
+    return [e.text() for e in sorted({id(e): e for e in found}.values(), key=lambda e: order[id(e)])]
+
+
+def select_xpath(page: str | None, path: str) -> list[str]:
+    """Texts, or attribute values for a last step ``/@name``, of a path over elements.
+
+    What Python's ElementTree understands: tags, ``//``, positions, and predicates on
+    attributes and texts. Paths of other kinds, and broken ones, give none.
+    """
+    last = re.search(r"/@([\w-]+)$", path)
+
+    def built(e: _Element) -> ElementTree.Element:
+        out = ElementTree.Element(e.tag or "page", e.attrs)
+        before = None
+        for c in e.children:
+            if isinstance(c, _Element):
+                before = built(c)
+                out.append(before)
+            elif before is None:
+                out.text = (out.text or "") + c
+            else:
+                before.tail = (before.tail or "") + c
+        return out
+
+    try:
+        steps = path[: last.start()] if last else path
+        hits = built(_Tree(page or "").root).findall("." + steps if steps.startswith("/") else steps)
+    except (SyntaxError, KeyError, TypeError, RecursionError):
+        return []
+    return [e.attrib[last[1]] for e in hits if last[1] in e.attrib] if last else ["".join(e.itertext()).strip() for e in hits]
+
+
 def page_fields(page: str | None, f: Fields = Fields()) -> dict | None:
     """Title, summary, key/value table, catalogue, paragraphs and references of a page."""
     if page is None:
@@ -163,4 +225,4 @@ def flat_info(pages: DataFrame) -> DataFrame:
     return pages.select(*[c for c in pages.columns if c != "info"], *[F.col(f"info.{n}").alias(f"info_{n}") if n in plain else F.to_json(f"info.{n}").alias(f"info_{n}") for n in ("title", "summary", "basic_info", "catalog", "content", "references")])
 
 
-__all__ = ["Fields", "cached_pages", "first_available", "flat_info", "inner_links", "link_edges", "link_url", "links", "page_fields", "select", "with_fields", "without_challenges"]
+__all__ = ["Fields", "cached_pages", "first_available", "flat_info", "inner_links", "link_edges", "link_url", "links", "page_fields", "select", "select_css", "select_xpath", "with_fields", "without_challenges"]

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillgraph.sources.scratch import Scratch
+
 PAD, UNK = "[PAD]", "[UNK]"
 
 
@@ -65,12 +67,20 @@ def label_ids(labels: DataFrame) -> DataFrame:
 
 
 def dense_rank_ids(df: DataFrame, order: list[str], start: int) -> DataFrame:
-    """Adds ``id``: rows numbered from ``start`` in a total order, range by range."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("__p", F.shiftright("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND((1 << 33) - 1))
+    """Adds ``id``: rows numbered from ``start`` in a total order, range by range.
+
+    The sorted ranges are written once, each row with its range and its place in it.
+    Sizes and numbers are both read from that table: planned twice, the ranges would
+    be sampled and merged twice, and differently. Equal rows get neighbouring ids.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__p": F.spark_partition_id(), "__i": place})
+    ranged = Scratch(df.sparkSession, "ranks").keep(sorted_, "ranges")
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    offsets = sizes.withColumn("__before", F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)))
-    return ranged.join(F.broadcast(offsets.select("__p", "__before")), "__p").withColumn("id", F.coalesce("__before", F.lit(0)) + F.col("__i") + start).drop("__m", "__p", "__i", "__before")
+    offsets = sizes.select("__p", F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
+    # One row for each range, whatever the rows.
+    numbered = ranged.join(F.broadcast(offsets), "__p", "left")
+    return numbered.withColumn("id", F.coalesce("__before", F.lit(0)) + F.col("__i") + start).drop("__p", "__i", "__before")
 
 
 def encoded(sentences: DataFrame, vocab: DataFrame, tokens: str = "tokens", unknown: int = 1) -> DataFrame:
@@ -89,11 +99,23 @@ def batches(df: DataFrame, row_no: str, size: int = 32, ids: str = "ids") -> Dat
     return rows.withColumns({"padded": padded(F.col(ids), F.col("__m")), "mask": attention_mask(F.col(ids), F.col("__m"))}).drop("__m")
 
 
-def shuffled_split(df: DataFrame, id_col: str, ratio: float = 0.1, seed: int = 42) -> DataFrame:
-    """Adds ``is_val``: the first ``int(n * ratio)`` rows in the order of a hash of id and seed."""
+def shuffled_split(df: DataFrame, id_col: str, ratio: float = 0.1, seed: int = 42, order: Column | None = None) -> DataFrame:
+    """Adds ``is_val``: the first ``int(n * ratio)`` rows by ``order``, by default a hash of id and seed.
+
+    Only ids are sorted; ids must be unique. Other columns, an ``id`` too, stay.
+    """
     n = int(df.count() * ratio)
-    ranked = dense_rank_ids(df.withColumn("__h", F.xxhash64(F.lit(seed), id_col)), ["__h", id_col], 0)
-    return ranked.withColumn("is_val", F.col("id") < n).drop("__h", "id") if id_col != "id" else ranked
+    drawn = F.xxhash64(F.lit(seed), F.col(id_col)) if order is None else order
+    ranked = dense_rank_ids(df.select(F.col(id_col).alias("__key"), drawn.alias("__h")), ["__h", "__key"], 0)
+    return df.join(ranked.select(F.col("__key").alias(id_col), (F.col("id") < n).alias("is_val")), id_col, "left")
+
+
+def shuffled_batches(df: DataFrame, id_col: str, size: int = 32, epoch: int = 0, seed: int = 42, ids: str = "ids", order: Column | None = None) -> DataFrame:
+    """Batches in an order drawn anew for each epoch, by default by a hash; the same epoch and seed give the same batches."""
+    drawn = F.xxhash64(F.lit(seed), F.lit(epoch), F.col(id_col)) if order is None else order
+    ranked = dense_rank_ids(df.select(F.col(id_col).alias("__key"), drawn.alias("__h")), ["__h", "__key"], 0)
+    rows = df.join(ranked.select(F.col("__key").alias(id_col), F.col("id").alias("__at")), id_col)
+    return batches(rows, "__at", size, ids).drop("__at")
 
 
 def weighted_scores(rows: DataFrame, gold: str = "gold", predicted: str = "predicted", outside: str = "O") -> DataFrame:

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.labels import viterbi
@@ -38,6 +38,23 @@ class Tagger:
         return x @ self.out_weight.T + self.out_bias
 
 
+def save(spark: SparkSession, model: Tagger, names: list[str], path: str) -> None:
+    """Weights and label names as one table: a row for each array, with its shape."""
+    arrays = [("embedding", model.embedding), ("out_weight", model.out_weight), ("out_bias", model.out_bias), ("transitions", model.transitions), ("start", model.start), ("end", model.end)]
+    arrays += [(f"layer/{i}/{way}/{part}", a) for i, both in enumerate(model.layers) for way, gates in enumerate(both) for part, a in enumerate(gates)]
+    rows = [(n, list(np.shape(a)), np.asarray(a, float).ravel().tolist(), None) for n, a in arrays] + [("names", [len(names)], None, list(names))]
+    spark.createDataFrame(rows, "name string, shape array<long>, numbers array<double>, texts array<string>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> tuple[Tagger, list[str]]:
+    """What save wrote."""
+    rows = {r["name"]: r for r in spark.read.parquet(path).collect()}
+    array = lambda n: np.array(rows[n]["numbers"]).reshape(rows[n]["shape"])
+    count = len({n.split("/")[1] for n in rows if n.startswith("layer/")})
+    layers = [tuple(tuple(array(f"layer/{i}/{way}/{part}") for part in range(3)) for way in range(2)) for i in range(count)]
+    return Tagger(layers=layers, **{n: array(n) for n in ("embedding", "out_weight", "out_bias", "transitions", "start", "end")}), rows["names"]["texts"]
+
+
 def _run(x: np.ndarray, gates: Gates) -> np.ndarray:
     w, u, b = gates
     h = c = np.zeros(u.shape[1])

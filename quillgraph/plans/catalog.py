@@ -187,7 +187,8 @@ def challenge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.without_challenges(table(spark, sf_dir, "pages"), ("spam", "请输入验证码")).select("page_id")
 
 
-@query()
+@query(r"""SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(13)) AS title,
+trim(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(13)) AS summary FROM pages""")
 def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", "html")
     return pages.with_fields(rows, pages.Fields(paragraph="", inner_links=(), title="", summary="ad")).select("page_id", "info.title", "info.summary")
@@ -327,6 +328,14 @@ def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.array_join("path", "/").alias("path"), "id", big("depth").alias("depth"), "more")
 
 
+def _order_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Links between orders and parts, and the first order."""
+    rows = table(spark, sf_dir, "lineitem")
+    o, p = F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("p"), "l_partkey")
+    out = rows.select(o.alias("src"), big("l_linenumber").alias("pos"), p.alias("dst")).union(rows.select(p, F.col("l_orderkey") * 10 + F.col("l_linenumber"), o))
+    return out.withColumn("text", F.col("dst")), "o" + str(rows.agg(F.min("l_orderkey")).first()[0])
+
+
 @query("""WITH l AS (SELECT 'o' || l_orderkey AS src, l_linenumber::BIGINT AS pos, 'p' || l_partkey AS dst FROM lineitem UNION ALL SELECT 'p' || l_partkey, l_orderkey * 10 + l_linenumber, 'o' || l_orderkey FROM lineitem),
 v0 AS (SELECT 0 AS idx, 'o' || min(l_orderkey) AS id, 0 AS depth FROM lineitem),
 f1 AS (SELECT dst AS id, min((v0.idx, pos)) AS found FROM l JOIN v0 ON src = v0.id WHERE dst NOT IN (SELECT id FROM v0) GROUP BY dst),
@@ -335,12 +344,22 @@ f2 AS (SELECT dst AS id, min((v1.idx, pos)) AS found FROM l JOIN v1 ON src = v1.
 v2 AS (SELECT (SELECT count(*) FROM v1) + row_number() OVER (ORDER BY found) AS idx, id, 2 AS depth FROM f2)
 SELECT idx::BIGINT AS idx, id, depth::BIGINT AS depth FROM (SELECT * FROM v0 UNION ALL SELECT * FROM v1 UNION ALL SELECT * FROM v2)""")
 def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem")
-    o, p = F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("p"), "l_partkey")
-    out = rows.select(o.alias("src"), big("l_linenumber").alias("pos"), p.alias("dst")).union(rows.select(p, F.col("l_orderkey") * 10 + F.col("l_linenumber"), o))
-    start = "o" + str(rows.agg(F.min("l_orderkey")).first()[0])
-    found = graph.discover(out.withColumn("text", F.col("dst")), start, 2, 1_000_000)[0]
-    return found.select("idx", "id", big("depth").alias("depth"))
+    links, start = _order_links(spark, sf_dir)
+    return graph.discover(links, start, 2, 1_000_000)[0].select("idx", "id", big("depth").alias("depth"))
+
+
+@query("""WITH l AS (SELECT 'o' || l_orderkey AS src, l_linenumber::BIGINT AS pos, 'p' || l_partkey AS dst FROM lineitem UNION ALL SELECT 'p' || l_partkey, l_orderkey * 10 + l_linenumber, 'o' || l_orderkey FROM lineitem),
+v0 AS (SELECT 0 AS idx, 'o' || min(l_orderkey) AS id, 0 AS depth FROM lineitem),
+f1 AS (SELECT dst AS id, min((v0.idx, pos)) AS found FROM l JOIN v0 ON src = v0.id WHERE dst NOT IN (SELECT id FROM v0) GROUP BY dst),
+v1 AS (SELECT row_number() OVER (ORDER BY found) AS idx, id, 1 AS depth FROM f1),
+f2 AS (SELECT dst AS id, min((v1.idx, pos)) AS found, min_by(v1.idx, (v1.idx, pos)) AS parent FROM l JOIN v1 ON src = v1.id WHERE dst NOT IN (SELECT id FROM v0 UNION ALL SELECT id FROM v1) GROUP BY dst),
+t AS (SELECT v1.idx, 1 + (SELECT count(*) FROM v1) + coalesce(sum(n) OVER (ORDER BY v1.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS known FROM v1 LEFT JOIN (SELECT parent, count(*) AS n FROM f2 GROUP BY 1) ON parent = v1.idx),
+v2 AS (SELECT (SELECT count(*) FROM v1) + row_number() OVER (ORDER BY found) AS idx, id, 2 AS depth FROM f2 WHERE parent IN (SELECT idx FROM t WHERE known < 40))
+SELECT idx::BIGINT AS idx, id, depth::BIGINT AS depth FROM (SELECT * FROM v0 UNION ALL SELECT * FROM v1 UNION ALL SELECT * FROM v2)""")
+def bfs_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bfs_levels, with a limit that is reached inside the second level."""
+    links, start = _order_links(spark, sf_dir)
+    return graph.discover(links, start, 2, 40)[0].select("idx", "id", big("depth").alias("depth"))
 
 
 @query("""WITH e AS (SELECT event_id, user_id, ts, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent FROM events)
@@ -483,39 +502,63 @@ def prf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select(*[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'ab/X|d/Y' WHEN 1 THEN 'ac/X' ELSE 'a/X|bcd/Z' END AS entities FROM orders""")
+_LABELS = ("B-X", "I-X", "E-X", "S-X", "O", "B-Y", "I-Y", "E-Y", "I-X", "E-Y", "S-Y")
+_SEQUENCES = f"""x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, 't' || event_id AS token,
+    ([{", ".join(f"'{x}'" for x in _LABELS)}])[((event_id * 7919 + user_id * 104729) % 11)::INT + 1] AS label FROM events)"""
+
+
+def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a sequence of tokens with labels."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.concat(F.lit("t"), "event_id").alias("token"), F.get(F.array(*map(F.lit, _LABELS)), ((F.col("event_id") * 7919 + F.col("user_id") * 104729) % 11).cast("int")).alias("label"))
+    grouped = rows.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "token", "label"))).alias("rows"))
+    return grouped.select("user_id", F.col("rows.token").alias("tokens"), F.col("rows.label").alias("labels"))
+
+
+@query(f"""WITH RECURSIVE {_SEQUENCES},
+s AS (SELECT user_id, 0 AS i, '' AS done, NULL::VARCHAR AS entity, NULL::VARCHAR AS type FROM (SELECT DISTINCT user_id FROM x)
+UNION ALL SELECT s.user_id, s.i + 1,
+    CASE WHEN kind = 'B' OR label = 'O' THEN done || closed WHEN kind = 'S' THEN done || closed || token || '/' || own || '|' WHEN kind = 'E' AND own = type THEN done || entity || token || '/' || own || '|' ELSE done END,
+    CASE WHEN kind = 'B' THEN token WHEN kind = 'S' OR label = 'O' OR (kind = 'E' AND own = type) THEN NULL WHEN kind = 'I' AND own = type THEN entity || token ELSE entity END,
+    CASE WHEN kind = 'B' THEN own WHEN kind = 'S' OR label = 'O' OR (kind = 'E' AND own = type) THEN NULL ELSE type END
+    FROM (SELECT s.*, x.token, x.label, x.label[1:1] AS kind, x.label[3:] AS own, coalesce(entity || '/' || type || '|', '') AS closed FROM s JOIN x ON x.user_id = s.user_id AND x.i = s.i + 1) s)
+SELECT user_id, md5(done || coalesce(entity || '/' || type || '|', '')) AS entities, length(done || coalesce(entity || '/' || type || '|', ''))::BIGINT AS n FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1""")
 def bioes_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = lambda *xs: F.array(*map(F.lit, xs))
-    k = F.col("o_orderkey") % 3
-    seq = F.when(k == 0, label("B-X", "E-X", "O", "S-Y")).when(k == 1, label("B-X", "I-Y", "I-X", "O")).otherwise(label("S-X", "B-Z", "I-Z", "E-Z"))
-    found = labels.decode_spans(label("a", "b", "c", "d"), seq)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(found, lambda e: F.concat(e["entity"], F.lit("/"), e["type"])), "|").alias("entities"))
+    found = labels.decode_spans(F.col("tokens"), F.col("labels"))
+    shown = F.array_join(F.transform(found, lambda e: F.concat(e["entity"], F.lit("/"), e["type"], F.lit("|"))), "")
+    return _sequences(spark, sf_dir).select("user_id", shown.alias("shown")).select("user_id", F.md5("shown").alias("entities"), big(F.length("shown")).alias("n"))
 
 
-@query()
+_MOVES = [[0.5, -0.2, 0.1], [0.0, 0.3, -0.4], [-0.1, 0.2, 0.0]]
+
+
+def _viterbi_sql() -> str:
+    """Ten steps over three tags, one row a vector: the best score, path and summed score of each tag."""
+    option = lambda i, j: f"s{i} + {_MOVES[i][j]}"
+    top = lambda j: f"CASE WHEN {option(0, j)} >= {option(1, j)} AND {option(0, j)} >= {option(2, j)} THEN 0 WHEN {option(1, j)} >= {option(2, j)} THEN 1 ELSE 2 END"
+    emission = lambda j: f"embedding[i * 3 + {j + 1}]::DOUBLE"
+    scores = ", ".join(f"greatest({', '.join(option(i, j) for i in range(3))}) + {emission(j)} AS s{j}" for j in range(3))
+    paths = ", ".join(f"([p0, p1, p2])[{top(j)} + 1] || '{j}' AS p{j}" for j in range(3))
+    sums = ", ".join(f"ln({' + '.join(f'exp(z{i} + {_MOVES[i][j]})' for i in range(3))}) + {emission(j)} AS z{j}" for j in range(3))
+    start = ", ".join(f"embedding[{j + 1}]::DOUBLE AS {c}{j}" for c in "sz" for j in range(3))
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, embedding, 1 AS i, {start}, '0' AS p0, '1' AS p1, '2' AS p2 FROM embeddings
+UNION ALL SELECT vec_id, embedding, i + 1, {scores}, {sums}, {paths} FROM v WHERE i < 10)
+SELECT vec_id, CASE WHEN s0 >= s1 AND s0 >= s2 THEN p0 WHEN s1 >= s2 THEN p1 ELSE p2 END AS path, round(ln(exp(z0) + exp(z1) + exp(z2)), 6) AS log_z FROM (SELECT vec_id, i, s0, s1, s2, z0, z1, z2, p0, p1, p2 FROM v) WHERE i = 10"""
+
+
+@query(_viterbi_sql())
 def viterbi_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").withColumn("emissions", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.transform(F.slice("embedding", i * 3 + 1, F.lit(3)), lambda x: x.cast("double"))))
-    moves = [[0.5, -0.2, 0.1], [0.0, 0.3, -0.4], [-0.1, 0.2, 0.0]]
-    path = labels.viterbi(F.col("emissions"), moves)
-    return e.select("vec_id", F.array_join(path.cast("array<string>"), "").alias("path"), F.round(labels.log_partition(F.col("emissions"), moves), 6).alias("log_z"))
+    path = labels.viterbi(F.col("emissions"), _MOVES)
+    return e.select("vec_id", F.array_join(path.cast("array<string>"), "").alias("path"), F.round(labels.log_partition(F.col("emissions"), _MOVES), 6).alias("log_z"))
 
 
-@query("""WITH b AS (SELECT doc_id, doc_id // 32 AS batch, least(length(text), 40) AS n FROM documents), m AS (SELECT *, max(n) OVER (PARTITION BY batch) AS most FROM b)
-SELECT doc_id, batch::BIGINT AS batch, most::BIGINT AS size, n::BIGINT AS used FROM m""")
+@query("""WITH b AS (SELECT doc_id, doc_id // 32 AS batch, list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: unicode(c)) AS ids FROM documents), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS most FROM b)
+SELECT doc_id, batch::BIGINT AS batch, most::BIGINT AS size, len(ids)::BIGINT AS used, md5(array_to_string(list_resize(ids, most, 0), ',')) AS digest FROM m""")
 def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split(F.substring("text", 1, 40), ""), lambda c: F.ascii(c)).alias("ids"))
-    out = sequences.batches(rows, "doc_id")
-    return out.select("doc_id", big("batch").alias("batch"), big(F.size("padded")).alias("size"), big(F.aggregate("mask", F.lit(0), lambda a, x: a + x)).alias("used"))
-
-
-@query("""WITH b AS (SELECT doc_id, doc_id // 32 AS batch, length(text) AS n FROM documents), m AS (SELECT *, max(n) OVER (PARTITION BY batch) AS most FROM b)
-SELECT doc_id, batch::BIGINT AS batch, most::BIGINT AS size, n::BIGINT AS used FROM m""")
-def padded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As padded_batches, whose SQL pads the first 40 characters, over whole texts."""
     chars = F.filter(F.split("text", ""), lambda c: c != "")
     rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(chars, lambda c: F.ascii(c)).alias("ids"))
     out = sequences.batches(rows, "doc_id")
-    return out.select("doc_id", big("batch").alias("batch"), big(F.size("padded")).alias("size"), big(F.aggregate("mask", F.lit(0), lambda a, x: a + x)).alias("used"))
+    return out.select("doc_id", big("batch").alias("batch"), big(F.size("padded")).alias("size"), big(F.aggregate("mask", F.lit(0), lambda a, x: a + x)).alias("used"), F.md5(F.array_join(F.col("padded").cast("array<string>"), ",")).alias("digest"))
 
 
 @query("""SELECT event_type, CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
@@ -562,31 +605,34 @@ def encoded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.encoded(rows, vocab).select(F.col("sent_id").alias("p_partkey"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
-_CASES = [(list("abcd"), ["B-X", "E-X", "O", "S-Y"]), (list("abc"), ["B-X", "I-Y", "O", "O"]), (list("abcd"), ["S-X", "B-Z"])]
-
-
-def _cases() -> tuple[Column, Column]:
-    k, strings = F.col("o_orderkey") % 3, lambda xs: F.array(*map(F.lit, xs))
-    pick = lambda i: F.when(k == 0, strings(_CASES[0][i])).when(k == 1, strings(_CASES[1][i])).otherwise(strings(_CASES[2][i]))
-    return pick(0), pick(1)
-
-
-@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '[a:B-X] [b:E-X] c[d:S-Y] ' WHEN 1 THEN '[a:B-X] [b:I-Y] c' ELSE '[a:S-X] [b:B-Z] ' END AS shown FROM orders")
+@query(f"""WITH {_SEQUENCES} SELECT user_id, md5(string_agg(CASE WHEN label = 'O' THEN token ELSE '[' || token || ':' || label || '] ' END, '' ORDER BY i)) AS shown FROM x GROUP BY 1""")
 def tagged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", labels.tagged_text(*_cases()).alias("shown"))
+    return _sequences(spark, sf_dir).select("user_id", F.md5(labels.tagged_text(F.col("tokens"), F.col("labels"))).alias("shown"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'X:ab|Y:d' WHEN 1 THEN 'X:a|Y:b' ELSE 'X:a|Z:b' END AS runs FROM orders")
+@query(f"""WITH {_SEQUENCES}, t AS (SELECT *, CASE WHEN label <> 'O' THEN label[3:] END AS type FROM x),
+c AS (SELECT *, CASE WHEN type IS DISTINCT FROM lag(type) OVER (PARTITION BY user_id ORDER BY i) OR i = 1 THEN 1 ELSE 0 END AS fresh FROM t),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY i) AS run FROM c),
+g AS (SELECT user_id, run, type, string_agg(token, '' ORDER BY i) AS text FROM r WHERE type IS NOT NULL GROUP BY 1, 2, 3)
+SELECT user_id, md5(string_agg(type || ':' || text, '|' ORDER BY run)) AS runs, count(*) AS n FROM g GROUP BY 1""")
 def type_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = F.transform(labels.type_runs(*_cases()), lambda r: F.concat(r["type"], F.lit(":"), r["text"]))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(runs, "|").alias("runs"))
-
-
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'B-X,E-X,O,B-X,E-X,S-Y' ELSE 'O,O,O,O,O,O' END AS labels FROM orders")
+    rows = _sequences(spark, sf_dir).select("user_id", labels.type_runs(F.col("tokens"), F.col("labels")).alias("found")).where(F.size("found") > 0)
+    shown = F.array_join(F.transform("found", lambda r: F.concat(r["type"], F.lit(":"), r["text"])), "|")
+    return rows.select("user_id", F.md5(shown).alias("runs"), big(F.size("found")).alias("n"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name || ' ' || p_type AS text, [p_name[1:3], 'e', p_type] AS entities FROM part),
+o AS (SELECT p_partkey, e, entities[e] AS entity, unnest(string_split(text, entities[e])) AS piece, generate_subscripts(string_split(text, entities[e]), 1) AS k FROM (SELECT *, unnest(range(1, 4)) AS e FROM p)),
+b AS (SELECT p_partkey, e, k, length(entity) AS n, sum(length(piece) + length(entity)) OVER (PARTITION BY p_partkey, e ORDER BY k) - length(entity) + 1 AS start, max(k) OVER (PARTITION BY p_partkey, e) AS most FROM o),
+c AS (SELECT p_partkey, text, unnest(range(1, length(text) + 1)) AS i FROM p),
+m AS (SELECT c.p_partkey, c.i, max_by((CASE WHEN n = 1 THEN 'S-' WHEN i = start THEN 'B-' WHEN i = start + n - 1 THEN 'E-' ELSE 'I-' END) || (['A', 'B', 'C'])[e], e) AS label
+    FROM c LEFT JOIN b ON b.p_partkey = c.p_partkey AND k < most AND c.i >= start AND c.i < start + n GROUP BY 1, 2)
+SELECT p_partkey, string_agg(coalesce(label, 'O'), ',' ORDER BY i) AS labels FROM m GROUP BY 1""")
 def entity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pair = lambda e, t: F.struct(F.lit(e).alias("entity"), F.lit(t).alias("type"))
-    entities = F.when(F.col("o_orderkey") % 2 == 0, F.array(pair("ab", "X"), pair("d", "Y"))).otherwise(F.array(pair("zz", "X")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(labels.labels_of_entities(F.lit("abcabd"), entities), ",").alias("labels"))
+    """The start of a part's name, a letter and its type as entities of its name and type."""
+    pair = lambda e, t: F.struct(e.alias("entity"), F.lit(t).alias("type"))
+    entities = F.array(pair(F.substring("p_name", 1, 3), "A"), pair(F.lit("e"), "B"), pair(F.col("p_type"), "C"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(labels.labels_of_entities(F.concat("p_name", F.lit(" "), "p_type"), entities), ",").alias("labels"))
 
 
 @query("""WITH l AS (SELECT user_id, event_id, event_type = 'purchase' AS blank, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events)
@@ -639,9 +685,20 @@ def dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.dense_rank_ids(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_custkey"], 0).select(F.col("c_custkey").alias("n"), big("id").alias("id"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE v) AS n_val FROM (SELECT row_number() OVER (ORDER BY doc_id) <= floor((SELECT count(*) FROM documents) * 0.1) AS v FROM documents)")
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) <= floor((SELECT count(*) FROM documents) * 0.1) AS is_val FROM documents")
 def shuffled_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.shuffled_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").agg(F.count("*").alias("n"), F.count_if("is_val").alias("n_val"))
+    order = F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string")))
+    return sequences.shuffled_split(table(spark, sf_dir, "documents"), "doc_id", order=order).select("doc_id", "is_val")
+
+
+@query("""WITH r AS (SELECT o_orderkey, (row_number() OVER (ORDER BY md5('42:1:' || o_orderkey), o_orderkey) - 1) // 32 AS batch, ((o_orderkey * 31) % 17)::INT + 1 AS n FROM orders)
+SELECT o_orderkey, batch::BIGINT AS batch, (max(n) OVER (PARTITION BY batch))::BIGINT AS size FROM r""")
+def shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = ((F.col("o_orderkey") * 31) % 17).cast("int") + 1
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.array_repeat(F.lit(7), n).alias("ids"))
+    order = F.md5(F.concat(F.lit("42:1:"), F.col("o_orderkey").cast("string")))
+    out = sequences.shuffled_batches(rows, "o_orderkey", epoch=1, order=order)
+    return out.select("o_orderkey", big("batch").alias("batch"), big(F.size("padded")).alias("size"))
 
 
 def shipped(f: Query) -> Query:

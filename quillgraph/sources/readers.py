@@ -40,9 +40,9 @@ def page_texts(files: DataFrame, parse: Column) -> DataFrame:
     return rows.select("file", F.array_join("pages", "\n").alias("text"))
 
 
-def headed_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def headed_csv(spark: SparkSession, path: str | list[str], glob: str = "*.csv") -> DataFrame:
     """A CSV with header, all strings, null for empty fields; quotes double and lines may break inside them."""
-    return spark.read.option("pathGlobFilter", "*.csv").csv(path, header=True, multiLine=True, escape='"', nullValue="")
+    return spark.read.option("pathGlobFilter", glob).csv(path, header=True, multiLine=True, escape='"', nullValue="")
 
 
 def row_number() -> Column:
@@ -83,14 +83,32 @@ def property_label(header: Column) -> Column:
     return F.regexp_replace(header, ":LABEL$", "")
 
 
-def embedding_csv(spark: SparkSession, path: str | list[str], text_col: str) -> DataFrame:
-    """``(text, embedding)`` of CSVs with list literals; other rows are left out, a missing path gives no rows."""
+def data_csv(spark: SparkSession, path: str | list[str], columns: tuple[str, ...], glob: str = "*.csv") -> DataFrame:
+    """A headed CSV that may be missing: a missing path, or a folder without such files, gives no rows of ``columns``."""
     try:
-        df = headed_csv(spark, path)
+        df = headed_csv(spark, path, glob)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return spark.createDataFrame([], "text string, embedding array<double>")
+        df = None
+    if df is None or not df.columns:
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
+    return df
+
+
+def retrieval_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The four kinds of files of a folder, each as one table: embeddings as ``(text, embedding)``, data as they are."""
+    return {
+        "concept_embeddings": embedding_csv(spark, folder, "concept_name", "*_concepts_embeddings.csv"),
+        "relation_embeddings": embedding_csv(spark, folder, "relation_phrase", "*_relations_embeddings.csv"),
+        "concepts": data_csv(spark, folder, CONCEPT_CORE, "*_concepts.csv"),
+        "relations": data_csv(spark, folder, RELATION_CORE, "*_relations.csv"),
+    }
+
+
+def embedding_csv(spark: SparkSession, path: str | list[str], text_col: str, glob: str = "*.csv") -> DataFrame:
+    """``(text, embedding)`` of CSVs with list literals; other rows are left out, a missing path gives no rows."""
+    df = data_csv(spark, path, (text_col, "embedding"), glob)
     if not {text_col, "embedding"} <= set(df.columns):
         return spark.createDataFrame([], "text string, embedding array<double>")
     return df.select(F.col(text_col).alias("text"), parsed(F.col("embedding")).alias("embedding")).where("embedding is not null")
