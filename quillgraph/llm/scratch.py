@@ -1,59 +1,12 @@
-"""Tables written in the shared folder, which cut lineage and survive lost executors."""
+"""What several operators share: the shared folder's tables, and the test tables."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one, for local masters only."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        holder = tempfile.TemporaryDirectory(prefix="quillgraph-")
-        atexit.register(holder.cleanup)
-        _own[app] = holder.name
-    return _own[app]
-
-
-class Scratch:
-    """Writes tables under one folder of its own and reads them back.
-
-    ``keep`` materialises a frame once as Parquet; ``drop`` removes a table that
-    no later step reads. Tables that a returned frame still reads stay until the
-    owner of the shared folder cleans it.
-    """
-
-    def __init__(self, spark: SparkSession, what: str):
-        self.spark = spark
-        self.root = f"{scratch_root(spark)}/quillgraph-{what}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self.count += 1
-        path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._quillgraph_path = path
-        return out
+from quillgraph.sources.scratch import Scratch, scratch_root
 
-    def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._quillgraph_path)
-            path.getFileSystem(conf).delete(path, True)
+__all__ = ["Scratch", "scratch_root", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
