@@ -5,11 +5,17 @@ and whole text nodes. Tokens with equal occurrence vectors over the distinct
 pages of a group form a class. The class that stands once in every page, in one
 order, is the page template; a class that stands several times inside one of its
 gaps is nested there (menus, lists). The gaps that its block tags open are the
-slots. Main are the slots inside the smallest template container that holds the
-slot with the most text that is not links; slots of links that repeat there
-(nested classes) and blocks that repeat on all pages are not. This holds for pages
-without article and main elements. Where pages have these, the tags decide: the
-article's text is kept whole but for the elements and names listed below.
+slots, and slots decide on every page: main are the slots that article or main
+elements fill, or, in groups without these, the slots inside the smallest template
+container that holds the slot with the most text that is not links; slots of
+links that repeat there (nested classes) are not. Blocks of the main slots that
+stand on all pages of the group are template too (notices, adverts), where they
+are the lesser part of every page's main text; pages that are copies of each
+other share the greater part and lose nothing. Elements such as nav, aside or form
+are never main text. Names of classes mean nothing.
+
+A group is of one host, and of at least FEW distinct pages before text that all
+share can be template: a page alone keeps all text of its main slots.
 """
 
 from __future__ import annotations
@@ -24,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GROUP = 32  # pages deduced together
+from quillgraph.llm.scratch import Scratch
+
+GROUP = 32  # pages deduced together, about; hosts with more are dealt to groups by a hash
 FEW = 3  # distinct pages that vouch for a template of their own
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.DOTALL)
@@ -36,7 +44,6 @@ CONTAINERS = frozenset("html head body nav header footer aside article main sect
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption thead tbody tfoot blockquote pre address hgroup figcaption fieldset legend option summary hr".split())
 OUTSIDE = frozenset("head nav footer aside form menu select button svg dialog iframe".split())
 MAIN = frozenset("article main".split())
-ASIDE_NAMES = re.compile(r"(?<!\S)(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|sidebar|side|footer|header|masthead|breadcrumbs?|cookies?|consent|notice|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|replies|reply|disqus|popup|modal|widget|toolbar|pagination|pager|skip|search)(?!\S)", re.IGNORECASE)
 
 
 @dataclass
@@ -76,7 +83,7 @@ def tokens(page: str) -> Iterator[Token]:
             continue
         marks = " ".join(v.group(2) or v.group(3) or v.group(4) or "" for v in NAMING.finditer(attributes))
         named = f"{name}.{marks}" if marks else name
-        hidden = name in OUTSIDE or (name == "header" and not main) or bool(marks and name not in ("html", "body", "article", "main") and ASIDE_NAMES.search(marks))
+        hidden = name in OUTSIDE or (name == "header" and not main)
         yield Token("/".join(path) + " <" + named, "void" if name in VOID else "open", name, "", path, outside, main, named)
         if name in RAW:
             end = re.compile(f"</{re.escape(name)}\\s*>", re.IGNORECASE).search(page, at)
@@ -89,7 +96,7 @@ def tokens(page: str) -> Iterator[Token]:
 class Template:
     order: list[str] = field(default_factory=list)  # the class that stands once on every page
     nested: dict[str, list[str]] = field(default_factory=dict)  # classes that repeat inside a slot
-    fixed: set[str] = field(default_factory=set)  # blocks that repeat outside the article
+    fixed: set[str] = field(default_factory=set)  # blocks of the main slots that stand on all pages
     main: set[str] = field(default_factory=set)  # slots, named by the template token before them
     article: set[str] = field(default_factory=set)  # main slots of which only article or main elements count
 
@@ -108,7 +115,7 @@ def _chain(orders: list[list[str]]) -> list[str]:
 
 
 def deduce(pages: list[list[Token]]) -> Template:
-    """The template of distinct pages, each given as its tokens."""
+    """The template of distinct pages, each given as its tokens. Of equally long slots the first counts."""
     t = Template()
     vectors: dict[str, list[int]] = defaultdict(lambda: [0] * len(pages))
     for i, page in enumerate(pages):
@@ -148,36 +155,37 @@ def deduce(pages: list[list[Token]]) -> Template:
     menus = {s for s, keys in t.nested.items() if prose.get(s, 0) <= 0 and any(k.rpartition(" <")[2].split(".")[0] == "a" for k in keys)}
     t.main = t.article or {s for s in slots if holder[s][: len(inside)] == inside} - menus
     if len(pages) >= FEW:
-        t.fixed = set.intersection(*({text for _, text, main in _blocks(page, t) if not main} for page in pages))
+        texts = [[text for _, text in _blocks(page, t)] for page in pages]
+        common = set.intersection(*map(set, texts))
+        if all(2 * sum(len(x) for x in own if x in common) < sum(map(len, own)) for own in texts):
+            t.fixed = common
     return t
 
 
-def _blocks(page: list[Token], template: Template) -> Iterator[tuple[str, str, bool]]:
-    """(slot, text with single spaces, whether an article holds it) of each block with text in the main slots."""
+def _blocks(page: list[Token], template: Template) -> Iterator[tuple[str, str]]:
+    """(slot, text with single spaces) of each block with text in the main slots."""
     mine = set(template.order)
     part: list[str] = []
-    slot, main = "", False
+    slot = ""
     for token in page:
         if token.kind != "text":
             if token.name in BLOCKS:
                 if block := " ".join("".join(part).split()):
-                    yield slot, block, main
+                    yield slot, block
                 part.clear()
-                main = False
             elif token.name == "br":
                 part.append(" ")
         elif not token.outside and slot in template.main and (token.main or slot not in template.article):
             part.append(html.unescape(token.text))
-            main |= token.main
         if token.key in mine:
             slot = token.key
     if block := " ".join("".join(part).split()):
-        yield slot, block, main
+        yield slot, block
 
 
 def main_text(page: list[Token], template: Template) -> str:
-    """The blocks of the main slots, each with single spaces, one on a line."""
-    return "\n".join(text for _, text, main in _blocks(page, template) if main or text not in template.fixed)
+    """The blocks of the main slots that are not template, each with single spaces, one on a line."""
+    return "\n".join(text for _, text in _blocks(page, template) if text not in template.fixed)
 
 
 def extract_group(pages: list[str | None]) -> list[str]:
@@ -196,19 +204,19 @@ def extract_group(pages: list[str | None]) -> list[str]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host: runs of one host in groups; hosts with few pages go with their neighbours."""
+    """Rows sorted by host and group; each group is deduced by itself."""
     held: list[dict] = []
+    kind = None
 
     def done(rows: list[dict]) -> pa.RecordBatch:
         texts = extract_group([r["html"] for r in rows])
         return pa.RecordBatch.from_arrays([pa.array([r["id"] for r in rows], kind), pa.array([r["url"] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
-    kind = None
     for batch in batches:
         kind = batch.column(0).type
         for at in range(0, batch.num_rows, 256):
             for row in batch.slice(at, 256).to_pylist():
-                if held and (len(held) >= GROUP or row["host"] != held[-1]["host"] and len(held) >= FEW):
+                if held and (row["host"], row["part"]) != (held[-1]["host"], held[-1]["part"]):
                     yield done(held)
                     held = []
                 held.append(row)
@@ -219,16 +227,22 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)``, one row for each input row.
 
-    Pages are dealt by ranges of host and a hash of the id, so a host with very
-    many pages spreads over many tasks and is deduced in groups of GROUP. Null
-    and empty pages have the text "". Repeated rows give repeated rows.
+    A host of more than GROUP pages is dealt to groups by a hash of the row, so a
+    host with very many pages spreads over many tasks, and the groups, and so the
+    texts, do not depend on how the rows are partitioned. Pages without a host are
+    one host's. Null and empty pages have the text "". Repeated rows give repeated
+    rows; extra columns are left out.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     after = F.when(F.instr(url_col, "://") > 0, F.expr(f"substr(`{url_col}`, instr(`{url_col}`, '://') + 3)"))
     host = F.coalesce(F.lower(F.regexp_extract(after, r"^([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"), F.xxhash64(F.lit(31), id_col).alias("order"))
-    dealt = rows.repartitionByRange("host", "order").sortWithinPartitions("host", "order", "id", "url", "html").drop("order")
-    out = dealt.select("id", "url", "html", "host").mapInArrow(_extract, f"id {kind}, url string, text string, n_chars long")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
+    # Written, the table has a size that Spark knows: hosts are broadcast only below its threshold, else joined.
+    large = Scratch(pages.sparkSession, "hosts").keep(rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > GROUP), "large")
+    groups = F.ceil(F.coalesce("n", F.lit(1)) / GROUP)
+    grouped = rows.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64(F.lit(31), "id", "url", "html"), groups)).drop("n")
+    dealt = grouped.repartition("host", "part").sortWithinPartitions("host", "part", "id", "url", "html")
+    out = dealt.select("id", "url", "html", "host", "part").mapInArrow(_extract, f"id {kind}, url string, text string, n_chars long")
     return out.withColumnRenamed("id", id_col)
 
 
