@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -10,6 +11,7 @@ import numpy as np
 
 CLEAR, END, FULL = 256, 257, 4096
 MAX_ROWS = 256
+MOST_PIXELS = 1 << 26  # of a canvas; its colours take four bytes each
 #: Bits of the n-th code after a clear code (n from 1); a decoder adds no entry for the first one.
 _next = 258 + np.maximum(0, np.arange(1 << 13) - 2)
 WIDTH = np.clip(np.floor(np.log2(_next)).astype(np.int64) + 1, 9, 12)
@@ -153,7 +155,7 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
     parts = []
     while n := data[at]:
         parts.append(data[at + 1 : at + 1 + n])
-        at += 1 + n
+        at += 1 + n  # data[at] raises where the file breaks off
     return b"".join(parts), at + 1
 
 
@@ -173,17 +175,35 @@ def octants(canvas: np.ndarray) -> np.ndarray:
 
 def decode(data: bytes) -> list[Frame]:
     """All frames as stored and as shown, by the rules of disposal and transparency."""
-    if data[:3] != b"GIF":
+    return [Frame(f.indices, f.canvas.copy(), f.delay_ms, f.histogram) for f in frames(data)]
+
+
+def frames(data: bytes) -> Iterator[Frame]:
+    """The frames one at a time; a canvas is good until the next frame is asked for.
+
+    Files that break off, break the format or have more than MOST_PIXELS on their
+    canvas raise ValueError, also after frames that are whole.
+    """
+    try:
+        yield from _frames(data)
+    except (IndexError, struct.error) as e:
+        raise ValueError("the file breaks off") from e
+
+
+def _frames(data: bytes) -> Iterator[Frame]:
+    if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     wide, high, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
+    if wide * high > MOST_PIXELS:
+        raise ValueError("the canvas is too large")
     at, common = 13, None
     colours = lambda at, flags: np.frombuffer(data, np.uint8, 3 << (flags & 7) + 1, at).reshape(-1, 3)
     if flags & 0x80:
         common = colours(at, flags)
         at += common.size
     canvas = np.zeros((high, wide, 4), np.uint8)
-    frames, delay, dispose, clear_index = [], 0, 0, None
-    while at < len(data) and data[at] != 0x3B:
+    delay, dispose, clear_index = 0, 0, None
+    while data[at] != 0x3B:
         kind = data[at]
         if kind == 0x21:
             label = data[at + 1]
@@ -200,9 +220,16 @@ def decode(data: bytes) -> list[Frame]:
         if flags & 0x80:
             palette = colours(at, flags)
             at += palette.size
+        if palette is None:
+            raise ValueError("no palette")
         min_bits = data[at]
+        if not 1 <= min_bits <= 8:
+            raise ValueError("unknown code size")
         packed, at = _blocks(data, at + 1)
-        samples = np.frombuffer(lzw_samples(packed, min_bits)[: w * h].ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+        stored = lzw_samples(packed, min_bits)
+        if len(stored) < w * h:
+            raise ValueError("too few samples")
+        samples = np.frombuffer(stored[: w * h], np.uint8).reshape(h, w)
         if flags & 0x40:
             samples = _deinterlaced(samples)
         saved = canvas.copy() if dispose == 3 else None
@@ -212,10 +239,9 @@ def decode(data: bytes) -> list[Frame]:
         part = samples[: area.shape[0], : area.shape[1]]
         drawn = rgba[part]
         area[...] = drawn if clear_index is None else np.where((part == clear_index)[..., None], area, drawn)
-        frames.append(Frame(samples, canvas.copy(), delay, octants(canvas)))
+        yield Frame(samples, canvas, delay, octants(canvas))
         if dispose == 2:
             canvas[y : y + h, x : x + w] = 0
         elif dispose == 3:
             canvas = saved
         delay, dispose, clear_index = 0, 0, None
-    return frames

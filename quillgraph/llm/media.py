@@ -20,13 +20,14 @@ FRAMES = "array<struct<delay_ms:int,width:int,height:int,rgba:binary,histogram:a
 def decode_gifs(df: DataFrame, gif_col: str, out_col: str = "frames") -> DataFrame:
     """Adds the frames of a binary GIF column, as shown, with delays and octant histograms.
 
-    Null or malformed files give null; columns of the same name are replaced.
+    Null files give null, and so do files that are malformed, break off or are too
+    large (see gif.frames); columns of the same name are replaced.
     """
 
     def frames(data: bytes | None) -> list[dict] | None:
         try:
-            return None if data is None else [{"delay_ms": f.delay_ms, "width": f.canvas.shape[1], "height": f.canvas.shape[0], "rgba": f.canvas.tobytes(), "histogram": f.histogram.tolist()} for f in gif.decode(data)]
-        except (ValueError, IndexError, TypeError):
+            return None if data is None else [{"delay_ms": f.delay_ms, "width": f.canvas.shape[1], "height": f.canvas.shape[0], "rgba": f.canvas.tobytes(), "histogram": f.histogram.tolist()} for f in gif.frames(bytes(data))]
+        except ValueError:
             return None
 
     return df.withColumn(out_col, F.udf(frames, FRAMES, useArrow=True)(gif_col))
@@ -45,9 +46,12 @@ def to_gif(payload: bytes) -> bytes:
 
 def from_gif(media: bytes) -> tuple[bytes, str]:
     """The payload as stored, and the feature: frames, milliseconds and shown pixels per octant."""
-    frames = gif.decode(media)
-    counts = sum(f.histogram for f in frames)
-    return b"".join(f.indices.tobytes() for f in frames), f"{len(frames)}|{sum(f.delay_ms for f in frames)}|{','.join(map(str, counts.tolist()))}"
+    parts, delay, counts = [], 0, np.zeros(8, np.int64)
+    for f in gif.frames(media):
+        parts.append(f.indices.tobytes())
+        delay += f.delay_ms
+        counts += f.histogram
+    return b"".join(parts), f"{len(parts)}|{delay}|{','.join(map(str, counts.tolist()))}"
 
 
 def _digest(text: str | None) -> tuple:
