@@ -11,14 +11,13 @@ fitted on the labelled sample, gives the score.
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.langid import bounded_sample, fold
@@ -26,6 +25,7 @@ from quillgraph.llm.langid import bounded_sample, fold
 SAMPLE = 2000  # labelled documents of each label that are learned from, about
 SUPPORT = 4, 0.01  # different surroundings that a word needs: a number, and a share of the toxic sample; a stem needs twice as many
 RARER = 0.02  # how much of its rate in toxic documents a term may have in others
+LONGEST_STEM = 64  # letters; whole words may be longer
 STEM, FUZZY = 4, 5  # letters of the shortest stem, and of the shortest entry that may be misspelled
 WINDOW = 5  # words on either side
 CACHED = 400_000  # words remembered in each worker
@@ -182,21 +182,21 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _score(w: np.ndarray, abuse: float, quoted: float) -> float:
-    z = w[0] + max(w[1], 0.0) * math.log2(1 + abuse) + w[2] * math.log2(1 + quoted)
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+def _score(w: np.ndarray, abuse: Column, quoted: Column) -> Column:
+    z = F.lit(float(w[0])) + F.lit(max(float(w[1]), 0.0)) * F.log2(1 + abuse) + F.lit(float(w[2])) * F.log2(1 + quoted)
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
 
 def train(rows: DataFrame) -> tuple[Lexicon, np.ndarray]:
     """From ``(id, text, label)`` rows with labels 0 and 1: the lexicon and the curve."""
-    used = rows.select(F.col("label").cast("int"), "text").mapInArrow(_usages, "word string, beside long, label int").where(F.length("word") <= 64)
+    used = rows.select(F.col("label").cast("int"), "text").mapInArrow(_usages, "word string, beside long, label int")
     stats = used.groupBy("word").agg(F.countDistinct(F.when(F.col("label") == 1, F.col("beside"))).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
     totals = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     rate = RARER * totals.get(0, 1) / max(1, totals.get(1, 0))
     support = max(SUPPORT[0], SUPPORT[1] * totals.get(1, 0))
     best = lambda df, key: [r[0] for r in df.orderBy(F.desc("pos"), key).collect()]
     words = best(stats.where((F.col("pos") >= support) & (F.col("neg") <= rate * F.col("pos"))), "word")
-    prefixes = stats.select("word", "pos", "neg", F.explode(F.sequence(F.lit(STEM), F.greatest(F.length("word"), F.lit(STEM)))).alias("n")).where(F.length("word") >= F.col("n"))
+    prefixes = stats.select("word", "pos", "neg", F.explode(F.sequence(F.lit(STEM), F.greatest(F.least(F.length("word"), F.lit(LONGEST_STEM)), F.lit(STEM)))).alias("n")).where(F.length("word") >= F.col("n"))
     stems = prefixes.groupBy(F.expr("substring(word, 1, n)").alias("stem")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count("*").alias("n"))
     stems = [(r[0], r[1]) for r in stems.where((F.col("pos") >= 2 * support) & (F.col("neg") <= rate * F.col("pos")) & (F.col("n") >= 3)).orderBy(F.desc("pos"), "stem").collect()]
     weight = dict(stems)
@@ -233,10 +233,13 @@ def with_evidence(df: DataFrame, lexicon: Lexicon, carry: list[str], text_col: s
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> DataFrame:
     """``(id, text, label)`` for about ``most`` labelled documents of each label outside the held-out fold.
 
-    Only ids of the sample are joined, and their number is bounded.
+    Only ids of the sample are joined. Their number is bounded: an id counts once
+    with each of its labels, and of documents that share an id the least text.
     """
-    chosen = bounded_sample(labels.where((fold(id_col) != 1) & F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).alias("label")), "label", "id", most)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    known = labels.where((fold(id_col) != 1) & F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).alias("label")).distinct()
+    chosen = bounded_sample(known, "label", "id", most)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    return rows.groupBy("id", "label").agg(F.min("text").alias("text")).select("id", "text", "label")
 
 
 def scores(docs: DataFrame, lexicon: Lexicon, curve: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,6 +247,5 @@ def scores(docs: DataFrame, lexicon: Lexicon, curve: np.ndarray, id_col: str = "
 
     Null and empty texts have no evidence and get the least score of that kind.
     """
-    score = F.udf(lambda a, q: _score(curve, a, q), "double", useArrow=True)
-    rows = with_evidence(docs, lexicon, [id_col], text_col).withColumn("score", score("abuse", "quoted"))
+    rows = with_evidence(docs, lexicon, [id_col], text_col).withColumn("score", _score(curve, F.col("abuse"), F.col("quoted")))
     return rows.select(id_col, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "abuse", "quoted")
