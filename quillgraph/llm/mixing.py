@@ -23,7 +23,7 @@ from quillgraph.llm.scratch import Scratch
 
 BUCKETS = 4096  # hashed four-byte strings
 GRID = 255
-STEPS = 40
+PATIENCE = 20  # steps that may bring less than a hundredth of the gap
 ROUNDS = 150  # of the classifier's descent
 CLOSE = 1e-4  # of all tokens, summed over domains
 PART = 1 << 20  # bytes handled at once
@@ -141,7 +141,9 @@ def fit_rates(rows: DataFrame, model: Domains, targets: dict[str, float]) -> tup
     """The rate as a column over ``posteriors``, and each domain's share of the fitted tokens.
 
     ``rows`` has n_tokens and posteriors; targets are weights of all tokens.
-    Domains without a target get 0. Without tokens all rates are 1.
+    Domains without a target get 0. Without tokens all rates are 1. Steps end when the
+    targets are met to CLOSE, or when PATIENCE steps bring no gain: then no rates meet
+    them better, and the returned shares tell by how much they are missed.
     """
     k = len(model.names)
     scratch = Scratch(rows.sparkSession, "mixing")
@@ -158,11 +160,12 @@ def fit_rates(rows: DataFrame, model: Domains, targets: dict[str, float]) -> tup
     wanted = np.array([targets.get(n, 0.0) / weight for n in model.names])
     mixed = lambda rate: np.array(points.agg(*[F.sum(F.col("tokens") * rate * entry(i)) for i in range(k)]).first(), float) / total
     residuals: list[list[float]] = []
-    while len(residuals) < STEPS:
+    best, idle, size = np.inf, 0, np.inf
+    while size >= CLOSE and idle < PATIENCE:
         gap = mixed(_rate(residuals, eta, True)) - wanted
         residuals.append((gap / own).tolist())
-        if np.abs(gap).sum() < CLOSE:
-            break
+        size = float(np.abs(gap).sum())
+        best, idle = (size, 0) if size < 0.99 * best else (best, idle + 1)
     rate = _rate(residuals, eta)
     return rate, mixed(rate).tolist()
 
