@@ -18,7 +18,7 @@ from quillgraph.llm.scratch import Scratch
 
 BINS, TREES, DEPTH, RATE, RIDGE = 16, 12, 3, 0.4, 1.0
 SAMPLE = 20_000  # labelled URLs learned from, about
-SUFFIXES = 256  # suffixes with statistics of their own
+WEIGHT = 20  # labelled URLs that the overall rate counts for in a suffix's rate
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -91,16 +91,22 @@ def _binned(edges: dict[str, list[float]]) -> dict[str, Column]:
 class Trees:
     """Boosted trees: each maps a node (1 at the root, 2n and 2n+1 below n) to a split or a leaf."""
 
-    def __init__(self, start: float, suffix_rates: dict[str, float], unseen: float, edges: dict[str, list[float]]):
-        self.start, self.suffix_rates, self.unseen, self.edges = start, suffix_rates, unseen, edges
+    def __init__(self, start: float, suffixes: DataFrame | None, overall: float, edges: dict[str, list[float]]):
+        self.start, self.suffixes, self.overall, self.edges = start, suffixes, overall, edges
         self.trees: list[tuple[dict[int, tuple[str, int]], dict[int, float]]] = []
 
-    def suffix_rate(self) -> Column:
-        out = F.lit(self.unseen)
-        if self.suffix_rates:
-            pairs = [x for k, v in sorted(self.suffix_rates.items()) for x in (F.lit(k), F.lit(v))]
-            out = F.coalesce(F.try_element_at(F.create_map(*pairs), suffix()), out)
-        return out
+    def with_suffix_rate(self, df: DataFrame, half: Column | None = None) -> DataFrame:
+        """Adds ``suffix_rate`` to rows with ``__suffix``; with ``half`` (0 or 1) the rate over the other half's labels.
+
+        The suffixes are those of the labelled sample, so SAMPLE bounds what is broadcast.
+        """
+        if self.suffixes is None:
+            return df.withColumn("suffix_rate", F.lit(self.overall)).drop("__suffix")
+        one = lambda k: tuple(F.coalesce(c, F.lit(0)) for c in (f"n{k}", f"bad{k}"))
+        (n0, bad0), (n1, bad1) = one(0), one(1)
+        n, bad = (n0 + n1, bad0 + bad1) if half is None else (F.when(half == 0, n1).otherwise(n0), F.when(half == 0, bad1).otherwise(bad0))
+        rows = df.join(F.broadcast(self.suffixes), "__suffix", "left")
+        return rows.withColumn("suffix_rate", (bad + WEIGHT * self.overall) / (n + WEIGHT)).drop("__suffix", "n0", "bad0", "n1", "bad1")
 
     def _node(self, splits: dict[int, tuple[str, int]], leaves: dict[int, float], at: int = 1) -> Column:
         if at in splits:
@@ -154,33 +160,42 @@ def _grow(model: Trees, rows: DataFrame) -> None:
 
 
 def train(labelled: DataFrame, url_col: str = "url", id_col: str = "page_id") -> Trees:
-    """From rows with host, path, url and a 0/1 ``label`` (1: block), about SAMPLE of them by a hash of the id."""
+    """From rows with host, path, url and a 0/1 ``label`` (1: block), about SAMPLE of them by a hash of the id.
+
+    A row's suffix rate is learned from the other half of the sample, so that no
+    label is among its own features.
+    """
     counts = labelled.agg(F.count("*"), F.sum("label")).first()
     if not counts[0]:
-        return Trees(-1.0, {}, 0.0, {})
-    part = labelled.where(F.pmod(F.xxhash64(F.lit(29), id_col, url_col), F.lit(1_000_000)) < -(-1_000_000 * SAMPLE // counts[0]))
+        return Trees(-1.0, None, 0.0, {})
+    scratch = Scratch(labelled.sparkSession, "urls")
+    draw = F.xxhash64(F.lit(29), id_col, url_col)
+    part = labelled.where(F.pmod(draw, F.lit(1_000_000)) < -(-1_000_000 * SAMPLE // counts[0]))
     overall = counts[1] / counts[0]
-    stats = part.groupBy(suffix().alias("suffix")).agg(F.count("*").alias("n"), F.sum("label").alias("bad")).orderBy(F.desc("n"), "suffix").limit(SUFFIXES)
-    rates = {r[0]: (r[2] + 20 * overall) / (r[1] + 20) for r in stats.collect()}
     odds = min(max(overall, 1e-3), 1 - 1e-3)
-    model = Trees(math.log(odds / (1 - odds)), rates, overall, {})
-    features = lexical(url_col) | {"suffix_rate": model.suffix_rate()}
-    scratch = Scratch(labelled.sparkSession, "urls")
-    plain = scratch.keep(part.select(*[c.alias(n) for n, c in features.items()], "label"), "features")
-    cuts = plain.agg(*[F.percentile_approx(n, [i / BINS for i in range(1, BINS)]) for n in features]).first()
-    model.edges = {n: sorted(set(c or [])) for n, c in zip(features, cuts, strict=True)}
+    half = F.pmod(F.shiftright(draw, 24), F.lit(2))
+    rows = scratch.keep(part.select(*[c.alias(n) for n, c in lexical(url_col).items()], suffix().alias("__suffix"), half.alias("half"), "label"), "sample")
+    count = lambda k, c: F.sum(F.when(F.col("half") == k, c).otherwise(0))
+    suffixes = rows.groupBy("__suffix").agg(*[count(k, c).alias(f"{n}{k}") for k in (0, 1) for n, c in (("n", F.lit(1)), ("bad", F.col("label")))])
+    model = Trees(math.log(odds / (1 - odds)), scratch.keep(suffixes.coalesce(1), "suffixes"), overall, {})
+    plain = scratch.keep(model.with_suffix_rate(rows, F.col("half")).drop("half"), "features")
+    names = [*lexical(url_col), "suffix_rate"]
+    cuts = plain.agg(*[F.percentile_approx(n, [i / BINS for i in range(1, BINS)]) for n in names]).first()
+    model.edges = {n: sorted(set(c or [])) for n, c in zip(names, cuts, strict=True)}
     binned = plain.select(*[c.alias(n) for n, c in _binned(model.edges).items()], "label")
-    rows = scratch.keep(binned.groupBy(*features, "label").agg(F.count("*").alias("n")).coalesce(1), "bins").coalesce(1)
+    # At most SAMPLE rows, read by every level of every tree.
+    bins = scratch.keep(binned.groupBy(*names, "label").agg(F.count("*").alias("n")).coalesce(1), "bins").coalesce(1).persist()
     for _ in range(TREES):
-        _grow(model, rows)
+        _grow(model, bins)
+    bins.unpersist()
     return model
 
 
 def with_block_score(df: DataFrame, model: Trees, url_col: str = "url") -> DataFrame:
     """Adds ``block_score``, 0 to 1, to rows with host and path."""
-    own = df.columns
-    raw = df.withColumn("__row", F.struct(*own)).select("__row", *[c.alias(n) for n, c in (lexical(url_col) | {"suffix_rate": model.suffix_rate()}).items()])
-    binned = raw.select("__row", *[c.alias(n) for n, c in _binned(model.edges).items()])
+    own = [F.col(f"`{c}`") for c in df.columns]
+    raw = df.withColumn("__row", F.struct(*own)).select("__row", suffix().alias("__suffix"), *[c.alias(n) for n, c in lexical(url_col).items()])
+    binned = model.with_suffix_rate(raw).select("__row", *[c.alias(n) for n, c in _binned(model.edges).items()])
     return binned.select("__row.*", (1 / (1 + F.exp(-model.margin()))).alias("block_score"))
 
 
