@@ -17,19 +17,24 @@ RADIUS lies four deviations above.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from quillgraph.llm.scratch import Scratch
 
 WIDTH = 5
 LEAST = 0.8
 RADIUS = 22
 BLOCKS = 8
-ITEMS_AT_ONCE = 20_000  # items in one broadcast; more take one pass over the documents for each such part
+ITEMS_AT_ONCE, CHARS_AT_ONCE = 20_000, 1 << 25  # items that are broadcast, and their characters; more are joined by shingles
 SIEVE = 22  # bits
 
 WORDS = re.compile(r"\w+").findall
@@ -160,19 +165,76 @@ class Index:
                     best[item] = sim, low + at
 
 
-def _search(docs: DataFrame, items: list[tuple], id_type: str, item_type: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    held: dict[str, Index] = {}
+_indexes: dict[str, Index] = {}
+
+
+def _index_of(name: str, items: Callable[[], list[tuple]]) -> Index:
+    """The index of a broadcast, built once in each worker; only the last one is held."""
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = Index(items())
+    return _indexes[name]
+
+
+def _hit_rows(rows: list[tuple], kinds: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*kinds, pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc", "item", "similarity", "first_word", "n_words"])
+
+
+def _search(docs: DataFrame, items: DataFrame, schema: str) -> DataFrame:
+    """With broadcast items: one pass over the documents, nothing shuffled."""
+    kind = to_arrow_type(items.schema[0].dataType)
+    shared, name = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()]), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = held.setdefault("index", Index(shared.value))
-        for batch in batches:
-            rows = [(doc, *hit) for doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True) for hit in index.search(text)]
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1]), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["doc", "item", "similarity", "first_word", "n_words"])
+        index = _index_of(name, lambda: shared.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                yield _hit_rows([(doc, *hit) for doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True) for hit in index.search(text)], (batch.column(0).type, kind))
 
-    return docs.mapInArrow(run, f"doc {id_type}, item {item_type}, similarity double, first_word long, n_words long")
+    return docs.mapInArrow(run, schema)
+
+
+def _grams(words: list[str], widths: list[int]) -> list[int]:
+    """Distinct hashes of the word shingles of given widths, the same in every process."""
+    found = {(" ".join(words[at : at + k])) for k in widths for at in range(len(words) - k + 1)}
+    return [h - (1 << 64) if h >> 63 else h for h in (xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) for g in found)]
+
+
+def _joined(docs: DataFrame, items: DataFrame, schema: str) -> DataFrame:
+    """With items beyond the bound: pairs that share enough shingles are joined, and each is searched by itself.
+
+    A window as alike as LEAST lacks at most 1 - LEAST of an item's shingles, so it
+    has all but that many of its distinct ones; the pairs with fewer are left out.
+    """
+    scratch = Scratch(docs.sparkSession, "leaks")
+    number = lambda df, names: scratch.keep(df.toDF(*names).withColumn("no", F.monotonically_increasing_id()), names[0])
+    rows, known = number(docs, ["doc", "text"]), number(items, ["item", "item_text"])
+    kinds = to_arrow_type(docs.schema[0].dataType), to_arrow_type(items.schema[0].dataType)
+
+    def item_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(no, h, max(1, len(own) - int((1 - LEAST) * max(1, len(words) - WIDTH + 1) + 1e-9))) for no, text in zip(*[c.to_pylist() for c in b.columns], strict=True) if (words := WORDS((text or "").lower())) for own in [_grams(words, [min(WIDTH, len(words))])] for h in own]
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["item_no", "gram", "need"])
+
+    def doc_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for no, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                own = _grams(WORDS((text or "").lower()), list(range(1, WIDTH + 1)))
+                yield pa.RecordBatch.from_arrays([pa.array([no] * len(own), pa.int64()), pa.array(own, pa.int64())], names=["doc_no", "gram"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                yield _hit_rows([(doc, *hit) for doc, text, item, item_text in zip(*[c.to_pylist() for c in whole.slice(at, 256).columns], strict=True) for hit in Index([(item, item_text)]).search(text)], kinds)
+
+    theirs = scratch.keep(known.select("no", "item_text").mapInArrow(item_grams, "item_no long, gram long, need long"), "grams")
+    shared = rows.select("no", "text").mapInArrow(doc_grams, "doc_no long, gram long").join(theirs, "gram")
+    pairs = scratch.keep(shared.groupBy("doc_no", "item_no").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("doc_no", "item_no"), "pairs")
+    both = pairs.join(rows.withColumnRenamed("no", "doc_no"), "doc_no").join(known.withColumnRenamed("no", "item_no"), "item_no")
+    return both.select("doc", "text", "item", "item_text").mapInArrow(verify, schema)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -181,19 +243,17 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     Null, empty and wordless texts hold nothing, and such items are in nothing.
     A text with fewer words than an item matches as a whole; n_words is then its own.
     Items of fewer than five words match exactly. The first of equally good
-    windows counts. Repeated rows give repeated results. Items are broadcast in
-    parts of at most ITEMS_AT_ONCE, and each part takes a pass over the documents.
+    windows counts. Repeated rows give repeated results. Items are broadcast where
+    they are at most ITEMS_AT_ONCE with at most CHARS_AT_ONCE characters; more are
+    joined with the documents by their shingles, and none come to the driver.
     """
     own = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    n = items.count()
-    parts = max(1, -(-n // ITEMS_AT_ONCE) + (n > ITEMS_AT_ONCE))
-    out = None
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64(item_col, item_text), F.lit(parts)) == part).select(item_col, F.col(item_text).cast("string"))
-        found = _search(own, [tuple(r) for r in rows.collect()], *kinds)
-        out = found if out is None else out.union(found)
-    return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "similarity", "first_word", "n_words")
+    theirs = items.select(F.col(item_col), F.col(item_text).cast("string"))
+    schema = f"doc {docs.schema[id_col].dataType.simpleString()}, item {items.schema[item_col].dataType.simpleString()}, similarity double, first_word long, n_words long"
+    n, chars = theirs.agg(F.count("*"), F.sum(F.length(theirs[1]))).first()
+    small = n <= ITEMS_AT_ONCE and (chars or 0) <= CHARS_AT_ONCE
+    found = (_search if small else _joined)(own, theirs, schema)
+    return found.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "similarity", "first_word", "n_words")
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
