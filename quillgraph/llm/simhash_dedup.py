@@ -234,7 +234,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def block_links(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Positions (in left, in right) of all pairs with a similarity of LEAST or more, by counts of shared shingles."""
-    size = np.array([len(h) for h in right])
+    size = np.array([len(h) for h in right], np.int64)
     owner = np.repeat(np.arange(len(right)), size)
     every = np.concatenate([*right, np.zeros(0, np.uint64)])
     order = np.argsort(every, kind="stable")
