@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from test_operators import DOCS, docs_of, edits, read, slow_matches, texts_of
 from test_pipeline import slow_near
 
-from quillgraph.llm import decontamination, gif, html_template, langid, media, mixing, passages, pipeline_stages, queries, simhash_dedup, toxicity, urls
+from quillgraph.llm import components, decontamination, gif, html_template, langid, media, mixing, passages, pipeline_stages, queries, simhash_dedup, toxicity, urls
 
 
 # 1: near copies of the pipeline's stage
@@ -24,6 +24,7 @@ from quillgraph.llm import decontamination, gif, html_template, langid, media, m
 def test_near_copies_in_pairs_and_blocks(spark, monkeypatch, few, block):
     monkeypatch.setattr(simhash_dedup, "FEW", few)
     monkeypatch.setattr(simhash_dedup, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(components, "IN_ONE_TASK", 0 if few == 0 else 1 << 14)
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
     texts = [None, "", "x", "one two"]

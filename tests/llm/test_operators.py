@@ -82,7 +82,9 @@ def test_simhash_odd_rows(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label.values())) and "fp" in kept.columns
 
 
-def test_chain_of_fingerprints_is_one_component(spark):
+@pytest.mark.parametrize("in_one_task", [0, components.IN_ONE_TASK])
+def test_chain_of_fingerprints_is_one_component(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(components, "IN_ONE_TASK", in_one_task)
     rng = random.Random(3)
     prints = [rng.getrandbits(64)]
     for _ in range(60):
