@@ -25,6 +25,7 @@ def shipped(f: Callable) -> Callable:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, and the components of those two or fewer bits apart."""
     return simhash_dedup.simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -33,11 +34,13 @@ RULES = [urls.Rule("net/", True), urls.Rule("example.net/en/", False), urls.Rule
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All urls judged: by rule where one fits, else by trees learned from the urls that rules decide."""
     rows = urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
     return rows.select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, from the prototypes of the documents outside fold 1. A null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     learn = docs.where((langid.fold() != 1) & F.col("lang").isNotNull()).select(F.col("doc_id").alias("id"), "text", "lang")
     rows = langid.predict(docs, langid.train(learn), ["doc_id"])
@@ -45,27 +48,33 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its tokens, posteriors over the labelled domains, rate and copies."""
     rows, model, _ = pipeline_stages.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
     return rows.select("doc_id", "n_tokens", *[F.col("posteriors")[i].alias(f"p_{n}") for i, n in enumerate(model.names)], "rate", "copies")
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_template.extract_main_text(table(spark, sf_dir, "pages"))
 
 
 def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text through a GIF file and back."""
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated 200-byte strings every document would lose."""
     return passages.removal_report(table(spark, sf_dir, "documents"))
 
 
 def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents hold, one row for each document and item."""
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every text, learned from the labels outside fold 1. A null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     sample = Scratch(spark, "toxicity").keep(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic"))
     rows = toxicity.scores(docs, *toxicity.train(sample))

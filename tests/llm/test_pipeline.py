@@ -10,7 +10,7 @@ from itertools import combinations
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
-from test_operators import DOCS, slow_components, slow_fingerprint
+from test_operators import DOCS
 
 from quillgraph.llm import decontamination, passages, pipeline_stages, simhash_dedup
 
@@ -36,12 +36,6 @@ def test_language_keeps_prose(stages):
     assert all(after[k] == v for k, v in before.items() if k in after) and len(after) >= 0.98 * len(before)
 
 
-def test_one_of_each_group(stages):
-    before, after, _ = stages["simhash"]
-    label = slow_components({k: slow_fingerprint(r["text"]) for k, r in before.items()})
-    assert set(after) == set(label.values())
-
-
 def slow_near(texts):
     """The least ids of the components of similarity 0.8 or more on bags of five words."""
     bags = {}
