@@ -7,9 +7,10 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions.labels import decode_spans
 from quillgraph.functions.text import clean_markdown, clean_page
 from quillgraph.functions.vectors import hashed_embedding
-from quillgraph.operators import chunking, notes, pages, retrieval, sequences, triples
+from quillgraph.operators import chunking, notes, pages, retrieval, sequences, tagger, tagger_training, triples
 from quillgraph.sources import readers, writers
 from quillgraph.sources.session import ship_package
 
@@ -22,8 +23,9 @@ def clean(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def chunk(spark: SparkSession, a: argparse.Namespace) -> None:
-    docs = readers.whole_texts(spark, a.input)
-    writers.to_json(chunking.with_structural_chunks(docs, max_length=a.length), a.output)
+    """Markdown cut at blocks, other texts by length."""
+    docs = readers.whole_texts(spark, a.input, "*.{md,txt}")
+    writers.to_json(chunking.chunks_by_kind(docs, size=a.length), a.output)
 
 
 def parse(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -80,7 +82,34 @@ def conll(spark: SparkSession, a: argparse.Namespace) -> None:
     writers.to_json(rows.select(F.array_join("tokens", "").alias("text"), "labels"), a.output)
 
 
-COMMANDS = {f.__name__: f for f in (clean, chunk, parse, owl, ttl, jsonld, embed, ask, links, conll)}
+def learn(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A tagger from two-column label files; prints each epoch's loss and scores."""
+    rows = sequences.conll_sentences(readers.text_lines(spark, a.input, "*.txt")).withColumn("sent_id", F.xxhash64("file", "sent_id"))
+    flat = rows.select("sent_id", F.posexplode(F.arrays_zip("tokens", "labels")).alias("at", "x")).select(F.struct("sent_id", "at").alias("pos"), F.col("x.tokens").alias("token"), F.col("x.labels").alias("label"))
+    vocab = sequences.vocabulary(sequences.frequencies(flat.select("pos", "token"))).select("token", "id")
+    vocab.write.mode("overwrite").parquet(f"{a.output}/vocabulary")
+    vocab = spark.read.parquet(f"{a.output}/vocabulary")
+    labels = sequences.label_ids(flat.select("pos", "label"))
+    names = [r["label"] for r in labels.orderBy("id").collect()]
+    numbered = sequences.encoded(rows, labels.withColumnRenamed("label", "token"), "labels", 0).withColumnRenamed("ids", "label_ids")
+    split = sequences.shuffled_split(sequences.encoded(numbered, vocab), "sent_id", 0.1)
+    start = tagger_training.fresh(vocab.count() + 2, len(names), a.width, 2 * a.width, 2)
+    model, history = tagger_training.train(split, start, names, a.epochs, rate=a.rate)
+    for n, e in enumerate(history, 1):
+        print(f"{n}: loss {e.loss:.4f}, precision {e.precision:.4f}, recall {e.recall:.4f}, F1 {e.f1:.4f}")
+    tagger.save(spark, model, names, f"{a.output}/tagger")
+
+
+def tag(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Entities of each line of text files, by a tagger that learn has saved."""
+    model, names = tagger.load(spark, f"{a.model}/tagger")
+    lines = readers.text_lines(spark, a.input, "*.txt").where("line <> ''").withColumn("sent_id", F.xxhash64("file", "line_no"))
+    rows = lines.withColumn("tokens", F.filter(F.split("line", ""), lambda c: c != ""))
+    found = tagger.tagged(sequences.encoded(rows, spark.read.parquet(f"{a.model}/vocabulary")), model, names)
+    writers.to_json(found.select("file", "line_no", "line", "labels", decode_spans(F.col("tokens"), F.col("labels")).alias("entities")), a.output)
+
+
+COMMANDS = {f.__name__: f for f in (clean, chunk, parse, owl, ttl, jsonld, embed, ask, links, conll, learn, tag)}
 
 
 def main(args: list[str] | None = None) -> None:
@@ -96,6 +125,10 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--query", "-q", default="")
     p.add_argument("-k", type=int, default=3)
     p.add_argument("--length", type=int, default=4096)
+    p.add_argument("--epochs", type=int, default=10)
+    p.add_argument("--rate", type=float, default=0.001)
+    p.add_argument("--width", type=int, default=128, help="of the tagger's word vectors; its layers have twice as much")
+    p.add_argument("--model", help="folder that learn has written")
     p.add_argument("--pages", action="store_true", help="extracted page texts instead of Markdown")
     a = p.parse_args(args)
     if a.output is None and a.command != "ask":
