@@ -356,10 +356,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = scratch.keep(tagged.groupBy("band", "label").agg(F.count("*").alias("n")), "parts")
     mixed = parts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), F.sum("n").alias("total"), (F.sum("n") - F.max("n")).alias("few")).where("labels > 1").drop("labels")
     apart = scratch.keep(tagged.join(mixed, "band"), "apart")
-    linker.add_blocks(apart.where(F.col("few") > FEW).select("band", "key", "total"))
-    narrow = apart.where(F.col("few") <= FEW)
-    few = narrow.where("label <> most").select("band", F.col("key").alias("a"), F.col("label").alias("a_label"))
-    linker.add(few.join(narrow.select("band", F.col("key").alias("b"), F.col("label").alias("b_label")), "band").where("a_label <> b_label").select(*pair("a", "b")))
+    wide, narrow = apart.where(F.col("few") > FEW), apart.where(F.col("few") <= FEW)
+    if not wide.isEmpty():
+        linker.add_blocks(wide.select("band", "key", "total"))
+    if not narrow.isEmpty():
+        few = narrow.where("label <> most").select("band", F.col("key").alias("a"), F.col("label").alias("a_label"))
+        linker.add(few.join(narrow.select("band", F.col("key").alias("b"), F.col("label").alias("b_label")), "band").where("a_label <> b_label").select(*pair("a", "b")))
     label = linker.labels()
     rooted = classes.select("key", "least").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     named = scratch.keep(rooted.groupBy("label").agg(F.min("least").alias("component_id")), "names")
