@@ -94,7 +94,7 @@ def learn(spark: SparkSession, a: argparse.Namespace) -> None:
     numbered = sequences.encoded(rows, labels.withColumnRenamed("label", "token"), "labels", 0).withColumnRenamed("ids", "label_ids")
     split = sequences.shuffled_split(sequences.encoded(numbered, vocab), "sent_id", 0.1)
     start = tagger_training.fresh(vocab.count() + 2, len(names), a.width, 2 * a.width, 2)
-    model, history = tagger_training.train(split, start, names, a.epochs, rate=a.rate)
+    model, history = tagger_training.train(split, start, names, a.epochs, a.batch, a.rate, a.tasks)
     for n, e in enumerate(history, 1):
         print(f"{n}: loss {e.loss:.4f}, precision {e.precision:.4f}, recall {e.recall:.4f}, F1 {e.f1:.4f}")
     tagger.save(spark, model, names, f"{a.output}/tagger")
@@ -126,6 +126,8 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("-k", type=int, default=3)
     p.add_argument("--length", type=int, default=4096)
     p.add_argument("--epochs", type=int, default=10)
+    p.add_argument("--batch", type=int, default=32)
+    p.add_argument("--tasks", type=int, default=8, help="that train side by side")
     p.add_argument("--rate", type=float, default=0.001)
     p.add_argument("--width", type=int, default=128, help="of the tagger's word vectors; its layers have twice as much")
     p.add_argument("--model", help="folder that learn has written")
