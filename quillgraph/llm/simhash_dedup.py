@@ -312,7 +312,9 @@ class _Linker:
         self.scratch.drop(shingles, dealt)
 
     def _shingles(self, keys: DataFrame) -> DataFrame:
-        texts = self.own.join(self.classes.join(keys.distinct(), "key").select(F.col("least").alias("doc"), "key"), "doc").select("key", "text")
+        # Written, its size is known: Spark broadcasts it below its threshold, and shuffles texts only beyond.
+        wanted = self.scratch.keep(self.classes.join(keys.distinct(), "key").select(F.col("least").alias("doc"), "key"), "wanted")
+        texts = self.own.join(wanted, "doc").select("key", "text")
         return self.scratch.keep(texts.mapInArrow(_shingle_rows, "key long, shingles binary").dropDuplicates(["key"]), "shingles")
 
     def _keep(self, found: DataFrame) -> None:
@@ -371,14 +373,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose id is their component's least (see near_components); of rows that share it, the least by all columns.
 
-    Rows with a null id stay. Columns are unchanged. Only ids are joined with the
-    texts; only rows whose id another kept row has are compared.
+    Rows with a null id stay. Columns are unchanged. Ids that go, and ids of several
+    rows, are written and joined, by broadcast where Spark finds them small.
     """
-    kept = near_components(docs, id_col, text_col).where("doc = component_id").select(F.col("doc").alias(id_col)).distinct()
     scratch = Scratch(docs.sparkSession, "kept")
-    rows = scratch.keep(docs.join(kept, id_col, "left_semi"), "rows")
-    again = scratch.keep(rows.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col), "again")
-    once = rows.join(again, id_col, "left_anti")
+    named = near_components(docs, id_col, text_col).groupBy(F.col("doc").alias(id_col)).agg(F.bool_or(F.col("doc") == F.col("component_id")).alias("stays"))
+    gone = scratch.keep(named.where("not stays").select(id_col), "gone")
+    again = scratch.keep(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col), "again")
+    rows = docs.join(gone, id_col, "left_anti")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     first = rows.join(again, id_col, "left_semi").groupBy(F.col(id_col).alias("__id")).agg(F.min(F.struct(*columns)).alias("__row")).select("__row.*")
-    return once.unionByName(first).unionByName(docs.where(F.col(id_col).isNull()))
+    return rows.join(again, id_col, "left_anti").select(*columns).unionByName(first)
