@@ -37,29 +37,29 @@ class Forest:
         self.key = key[order]
         self.kid = np.concatenate(kids)[order] if keys else key
 
-    def within(self, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, found) of positions in one tree at ``radius`` or fewer bits, found < query."""
+    def within(self, query: np.ndarray, radius: int, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, found) of positions in one tree at ``radius`` or fewer bits; found < query unless ``every``."""
         found_q, found_n = [], []
         at = self.root[query]
         while len(query):
             far = np.bitwise_count(self.values[query] ^ self.values[at]).astype(np.int64)
-            hit = (far <= radius) & (at < query)
+            hit = far <= radius
+            if not every:
+                hit &= at < query
             found_q.append(query[hit])
             found_n.append(at[hit])
-            next_q, next_n = [], []
-            for step in range(-radius, radius + 1):
-                edge = far + step
-                key = at * _EDGES + edge
-                place = np.searchsorted(self.key, key)
-                place[place == len(self.key)] = 0
-                ok = (edge >= 1) & (edge < _EDGES)
-                ok &= self.key[place] == key if len(self.key) else False
-                next_q.append(query[ok])
-                next_n.append(self.kid[place[ok]])
-            query, at = np.concatenate(next_q), np.concatenate(next_n)
+            low = np.searchsorted(self.key, at * _EDGES + np.maximum(far - radius, 1))
+            high = np.searchsorted(self.key, at * _EDGES + np.minimum(far + radius, _EDGES - 1), "right")
+            n = np.maximum(high - low, 0)
+            query, at = np.repeat(query, n), self.kid[ranges(low, n)]
         return (np.concatenate(found_q), np.concatenate(found_n)) if found_q else (query, at)
 
 
+def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` successive numbers from each ``start``, one range after the other."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 def least_linked(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of ``size`` positions the least position that links (a, b) reach."""
     label = np.arange(size)

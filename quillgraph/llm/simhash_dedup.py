@@ -10,24 +10,26 @@ their shards: broadcasting trees over every fingerprint of the corpus would have
 no size bound.
 
 The pipeline's stage asks for more than the query: five-word shingles alike by
-0.8 or more, where some ten bits differ. A search of radius NEAR_RADIUS would
-pass nearly every edge of a tree and no block of bits need agree, so there the
-shards are named by MinHash bands, and pairs of a shard whose fingerprints lie
-within the radius are verified on the shingles themselves.
+0.8 or more, where some ten bits differ and no block of bits need agree, so
+there the shards are named by MinHash bands. Again each shard gets BK-trees, and
+only pairs that their search finds within NEAR_RADIUS are verified on the
+shingles themselves. A search of that radius follows most edges of a tree, so a
+large shard is dealt to trees of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.bktree import Forest, least_linked
+from quillgraph.llm.bktree import Forest, least_linked, ranges
 from quillgraph.llm.components import star_forest
 from quillgraph.llm.scratch import Scratch
 
@@ -37,7 +39,10 @@ BLOCK = 1 << 16
 SHARDS_AT_ONCE = 1 << 18
 WIDTH = 5  # words, of the stage's shingles
 LEAST = 0.8
-NEAR_RADIUS = 26  # 4.5 deviations above the mean at 0.8 for texts of five shingles, more for longer ones
+NEAR_RADIUS = 31  # a pair alike by 0.8 lies beyond it with a chance of 2e-8 (four shingles and five), of 4e-10 for all others
+STAR_TEXTS = 64  # texts of a band in one tree of the first round
+TREE_TEXTS = 2048  # and of the second, without those that ask
+TREES_AT_ONCE = 1 << 13  # rows, about, of the stage's trees that are searched together
 FEW = 32  # texts of a band outside its largest component whose pairs are emitted; more are compared in blocks
 BLOCK_TEXTS = 512
 BANDS, ROWS = 32, 4  # a pair alike by 0.8 shares no band with a chance of 5e-8
@@ -97,21 +102,28 @@ def _linked(shard: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["u", "v"])
 
 
-def _search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard; whole shards are searched, about SHARDS_AT_ONCE rows at a time."""
-    rest = [np.zeros(0, np.int64)] * 3
+def _whole(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndarray]]:
+    """Rows sorted by their first two columns, as columns of about ``most`` rows that part no group of these two."""
+    rest: list[np.ndarray] = []
     for batch in batches:
-        cols = [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns, strict=True)]
-        rest = cols
-        if len(cols[0]) < SHARDS_AT_ONCE:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        rest = [np.concatenate(x) for x in zip(rest, cols, strict=True)] if rest else cols
+        if len(rest[0]) < most:
             continue
-        last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+        last = (rest[0] == rest[0][-1]) & (rest[1] == rest[1][-1])
         cut = int(np.argmax(last))
-        rest = [c[cut:] for c in cols]
-        if cut and (out := _linked(np.stack([cols[0][:cut], cols[1][:cut]], 1), cols[2][:cut])):
+        if cut:
+            yield [c[:cut] for c in rest]
+        rest = [c[cut:] for c in rest]
+    if rest and len(rest[0]):
+        yield rest
+
+
+def _search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard; whole shards are searched, about SHARDS_AT_ONCE rows at a time."""
+    for k, block, fp in _whole(batches, SHARDS_AT_ONCE):
+        if out := _linked(np.stack([k, block], 1), fp):
             yield out
-    if len(rest[0]) and (out := _linked(np.stack(rest[:2], 1), rest[2])):
-        yield out
 
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
@@ -224,6 +236,58 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], names=["key", "shingles"])
 
 
+def near_pairs(tree: np.ndarray, fp: np.ndarray, size: np.ndarray, asks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (q, n), n < q, of one tree: fingerprints within the radius, as BK-trees find them, and sizes that fit 0.8.
+
+    ``asks`` marks the q to search for. A tree holds each of its fingerprints once.
+    """
+    order = np.lexsort((fp, tree))
+    first = np.r_[True, (np.diff(tree[order]) != 0) | (fp[order][1:] != fp[order][:-1])]
+    start = np.flatnonzero(first)
+    count = np.diff(np.r_[start, len(order)])
+    node = np.empty(len(order), np.int64)
+    node[order] = np.cumsum(first) - 1
+    forest = Forest(fp[order[start]].view(np.uint64), tree[order[start]])
+    asked, found = forest.within(np.unique(node[asks]), radius, every=True)
+    q, found = order[ranges(start[asked], count[asked])], np.repeat(found, count[asked])
+    q, found = q[asks[q]], found[asks[q]]
+    q, n = np.repeat(q, count[found]), order[ranges(start[found], count[found])]
+    ok = (n < q) & (np.minimum(size[q], size[n]) >= LEAST * np.maximum(size[q], size[n]))
+    return q[ok], n[ok]
+
+
+def _search_trees(batches: Iterator[pa.RecordBatch], radius: int, once: bool) -> Iterator[pa.RecordBatch]:
+    """Rows ``(band, part, asks, key, fp, size[, label])`` sorted by the first four to pairs of keys that differ in label.
+
+    A part of a band is a tree; ``once`` gives each row that asks its first pair only.
+    """
+    for band, part, asks, key, fp, size, *label in _whole(batches, TREES_AT_ONCE):
+        tree = np.cumsum(np.r_[True, (band[1:] != band[:-1]) | (part[1:] != part[:-1])])
+        q, n = near_pairs(tree, fp, size, asks, radius)
+        of = label[0] if label else key
+        apart = of[q] != of[n]
+        q, n = q[apart], n[apart]
+        if once:
+            order = np.lexsort((n, q))
+            q, n = q[order], n[order]
+            first = np.r_[True, q[1:] != q[:-1]][: len(q)]
+            q, n = q[first], n[first]
+        x, y = key[q], key[n]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["u", "v"])
+
+
+def _tree_pairs(rows: DataFrame, everywhere: Column, asks: Column, texts: int, once: bool) -> DataFrame:
+    """``(u, v)``, u > v, that BK-trees find among the rows ``(band, key, fp, size, total[, label])`` of each band.
+
+    A band is dealt to trees of about ``texts`` rows; rows that are ``everywhere`` stand in each of them.
+    """
+    parts = F.ceil(F.col("total") / texts).cast("int")
+    dealt = F.when(everywhere, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), parts).cast("int")))
+    own = rows.select("band", F.explode(dealt).alias("part"), asks.alias("asks"), "key", "fp", "size", *[c for c in rows.columns if c == "label"])
+    trees = own.repartition("band", "part").sortWithinPartitions("band", "part", "asks", "key")
+    return trees.mapInArrow(partial(_search_trees, radius=NEAR_RADIUS, once=once), "u long, v long").distinct()
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 1024):
@@ -232,8 +296,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
-def block_links(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (in left, in right) of all pairs with a similarity of LEAST or more, by counts of shared shingles."""
+def block_links(left: list[np.ndarray], right: list[np.ndarray], near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (in left, in right) of all pairs with a similarity of LEAST or more, by counts of shared shingles.
+
+    ``near`` marks the pairs to count, all by default.
+    """
     size = np.array([len(h) for h in right], np.int64)
     owner = np.repeat(np.arange(len(right)), size)
     every = np.concatenate([*right, np.zeros(0, np.uint64)])
@@ -241,26 +308,39 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.nda
     every, owner = every[order], owner[order]
     found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
     for at, h in enumerate(left):
+        if near is not None and not near[at].any():
+            continue
         both = np.zeros(len(right), np.int64)
         for part in range(0, len(h), 1 << 12):
             low, high = (np.searchsorted(every, h[part : part + (1 << 12)], side) for side in ("left", "right"))
             n = high - low
             both += np.bincount(owner[np.repeat(high - np.cumsum(n), n) + np.arange(n.sum())], minlength=len(right))
-        hit = np.flatnonzero(both >= LEAST * (len(h) + size - both))
+        like = both >= LEAST * (len(h) + size - both)
+        hit = np.flatnonzero(like if near is None else like & near[at])
         found.append((np.full(len(hit), at), hit))
     a, b = zip(*found, strict=True)
     return np.concatenate(a), np.concatenate(b)
 
 
-def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(band, i, j, block, key, shingles)`` sorted by the first three: a star of links for each pair of blocks."""
+def _verify_blocks(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``(band, i, j, block, key, fp, shingles)`` sorted by the first three: a star of links for each pair of blocks.
+
+    A BK-tree over both blocks finds the pairs within the radius, their shingles decide.
+    """
     now, sides = None, ([], [])
 
     def done() -> pa.RecordBatch:
-        first, second = sides[0], sides[1] if now[1] != now[2] else sides[0]
-        a, b = block_links([h for _, h in first], [h for _, h in second])
-        keys = np.array([k for side in sides for k, _ in side], np.int64)
-        label = least_linked(len(keys), a, b + (len(first) if second is not first else 0))
+        one = now[1] == now[2]
+        texts = sides[0] + sides[1]
+        keys, prints = (np.array([t[k] for t in texts], np.int64) for k in (0, 1))
+        h = [t[2] for t in texts]
+        mid = 0 if one else len(sides[0])
+        q, n = near_pairs(np.zeros(len(h), np.int64), prints, np.array([len(x) for x in h]), np.arange(len(h)) >= mid, radius)
+        near = np.zeros((len(h) if one else mid, len(h) - mid), bool)
+        across = n < len(near)
+        near[n[across], q[across] - mid] = True
+        a, b = block_links(h[: len(near)], h[mid:], near)
+        label = least_linked(len(keys), a, b + mid)
         other = np.flatnonzero(label != np.arange(len(keys)))
         x, y = keys[other], keys[label[other]]
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["u", "v"])
@@ -268,12 +348,12 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for whole in batches:
         for at in range(0, whole.num_rows, 1024):
             b = whole.slice(at, 1024)
-            for band, i, j, block, key, shingles in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for band, i, j, block, key, fp, shingles in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if (band, i, j) != now:
                     if now:
                         yield done()
                     now, sides = (band, i, j), ([], [])
-                sides[block != i].append((key, np.frombuffer(shingles, np.uint64)))
+                sides[block != i].append((key, fp, np.frombuffer(shingles, np.uint64)))
     if now:
         yield done()
 
@@ -287,13 +367,9 @@ class _Linker:
         self.tested: DataFrame | None = None
 
     def add(self, pairs: DataFrame) -> None:
-        """``(u, v)``, u > v: those within the bounds of fingerprints and sizes are compared on their shingles."""
-        part = lambda name: self.classes.select(F.col("key").alias(name), F.col("fp").alias(f"{name}_fp"), F.col("size").alias(f"{name}_size"))
-        new = pairs.distinct() if self.tested is None else pairs.distinct().join(self.tested, ["u", "v"], "left_anti")
-        near = F.bit_count(F.col("u_fp").bitwiseXOR(F.col("v_fp"))) <= NEAR_RADIUS
-        fits = F.least("u_size", "v_size") >= F.lit(LEAST) * F.greatest("u_size", "v_size")
+        """``(u, v)``, u > v, without repeats, as the trees found them: those not yet tested are compared on their shingles."""
         # Pairs and shingles are written before they are joined, so that a hub's rows can be split.
-        open_ = self.scratch.keep(new.join(part("u"), "u").join(part("v"), "v").where(near & fits).select("u", "v"), "pairs")
+        open_ = self.scratch.keep(pairs if self.tested is None else pairs.join(self.tested, ["u", "v"], "left_anti"), "pairs")
         self.tested = open_ if self.tested is None else self.tested.union(open_)
         shingles = self._shingles(open_.select(F.col("u").alias("key")).union(open_.select(F.col("v").alias("key"))))
         side = lambda name: shingles.select(F.col("key").alias(name), F.col("shingles").alias(f"{name}_shingles"))
@@ -302,13 +378,13 @@ class _Linker:
         self.scratch.drop(shingles)
 
     def add_blocks(self, members: DataFrame) -> None:
-        """All pairs of the members ``(band, key, total)`` of each band: in blocks of about BLOCK_TEXTS texts, two to a task."""
+        """All pairs of the members ``(band, key, fp, total)`` of each band: in blocks of about BLOCK_TEXTS texts, two to a task."""
         blocks = F.ceil(F.col("total") / BLOCK_TEXTS).cast("int")
         own = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = self.scratch.keep(own.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key"), "blocks")
+        dealt = self.scratch.keep(own.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "fp"), "blocks")
         shingles = self._shingles(members.select("key"))
-        rows = dealt.join(shingles, "key").select("band", "i", "j", "block", "key", "shingles").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-        self._keep(rows.mapInArrow(_verify_blocks, "u long, v long").distinct())
+        rows = dealt.join(shingles, "key").select("band", "i", "j", "block", "key", "fp", "shingles").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+        self._keep(rows.mapInArrow(partial(_verify_blocks, radius=NEAR_RADIUS), "u long, v long").distinct())
         self.scratch.drop(shingles, dealt)
 
     def _shingles(self, keys: DataFrame) -> DataFrame:
@@ -330,16 +406,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(doc, component_id)``, one row for each distinct text of an id; rows with a null id have none.
 
     Texts whose bags of five-word shingles are alike by LEAST or more (weighted
-    Jaccard) are linked. Candidates share a MinHash band; a band's texts are never
-    gathered, but compared in two rounds of pairs, joined and verified:
-
-    1. each text with the least text of each of its bands;
-    2. in bands that still hold several components, the texts outside the band's
-       largest one with all texts of other components. Bands with more than FEW such
-       texts are compared in blocks, which emit a row per text and block, not pairs.
-
-    After the second round every pair of a band is compared or in one component, so no
-    link is lost, and a large group of copies costs a pair or two for each text. Only
+    Jaccard) are linked. Candidates share a shard, named by a MinHash band, and are found
+    by BK-trees over the shard's fingerprints with a search of radius NEAR_RADIUS; each
+    is verified on the shingles. A band's texts are never gathered, but dealt to trees:
+
+    1. trees of about STAR_TEXTS, which all hold the band's least text; each text is
+       verified with the first that its search finds;
+    2. in bands that still hold several components, the texts outside the band's largest
+       one search all trees of the band, of about TREE_TEXTS; what they find in other
+       components is verified. Bands with more than FEW such texts are searched and
+       verified in blocks, which emit a row per text and block, not pairs.
+
+    After the second round every pair of a band that lies within the radius is compared or
+    in one component, and a large group of copies costs a pair or two for each text. Only
     a band of many texts that are not alike (0.5 to 0.8, say) costs comparisons by the
     square of its size; they are spread over its blocks.
     """
@@ -348,22 +427,21 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     rows = scratch.keep(own.mapInArrow(_sketches, f"doc {kind}, key long, fp long, size long, bands array<long>"), "sketches")
     classes = scratch.keep(rows.groupBy("key").agg(F.min("doc").alias("least"), *[F.first(c).alias(c) for c in ("fp", "size", "bands")]), "texts")
-    shards = classes.select("key", F.explode("bands").alias("band"))
-    least = scratch.keep(shards.groupBy("band").agg(F.min("key").alias("m"), F.count("*").alias("n")).where("n > 1").select("band", "m"), "shards")
+    shards = classes.select("key", "fp", "size", F.explode("bands").alias("band"))
+    least = scratch.keep(shards.groupBy("band").agg(F.min("key").alias("m"), F.count("*").alias("total")).where("total > 1"), "shards")
     shared = scratch.keep(shards.join(least, "band"), "shared")
-    pair = lambda u, v: (F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
     linker = _Linker(own, classes, scratch)
-    linker.add(shared.where("key <> m").select(*pair("key", "m")))
+    linker.add(_tree_pairs(shared, F.col("key") == F.col("m"), F.col("key") != F.col("m"), STAR_TEXTS, once=True))
     tagged = shared.join(linker.labels(), "key", "left").withColumn("label", F.coalesce("label", "key"))
     parts = scratch.keep(tagged.groupBy("band", "label").agg(F.count("*").alias("n")), "parts")
-    mixed = parts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), F.sum("n").alias("total"), (F.sum("n") - F.max("n")).alias("few")).where("labels > 1").drop("labels")
+    mixed = parts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), (F.sum("n") - F.max("n")).alias("few")).where("labels > 1").drop("labels")
     apart = scratch.keep(tagged.join(mixed, "band"), "apart")
     wide, narrow = apart.where(F.col("few") > FEW), apart.where(F.col("few") <= FEW)
     if not wide.isEmpty():
-        linker.add_blocks(wide.select("band", "key", "total"))
+        linker.add_blocks(wide.select("band", "key", "fp", "total"))
     if not narrow.isEmpty():
-        few = narrow.where("label <> most").select("band", F.col("key").alias("a"), F.col("label").alias("a_label"))
-        linker.add(few.join(narrow.select("band", F.col("key").alias("b"), F.col("label").alias("b_label")), "band").where("a_label <> b_label").select(*pair("a", "b")))
+        few = F.col("label") != F.col("most")
+        linker.add(_tree_pairs(narrow, few, few, TREE_TEXTS, once=False))
     label = linker.labels()
     rooted = classes.select("key", "least").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     named = scratch.keep(rooted.groupBy("label").agg(F.min("least").alias("component_id")), "names")

@@ -39,6 +39,51 @@ def test_near_copies_in_pairs_and_blocks(spark, monkeypatch, few, block):
     assert {r["doc_id"] for r in kept} == slow_near(dict(enumerate(texts))) and len(kept) == len({r["doc_id"] for r in kept})
 
 
+def changed_words(sizes, changes):
+    """Texts of random words, and copies of each with so many words replaced."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    texts = []
+    for size in sizes:
+        base = [word() for _ in range(size)]
+        for n in changes:
+            copy = list(base)
+            for at in rng.choice(size, n, replace=False):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("few", [32, 0])
+def test_near_copies_come_from_the_trees(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash_dedup, "FEW", few)
+    texts = changed_words((60, 150), (0, 1, 1, 1))
+    kept = lambda: {r["doc_id"] for r in simhash_dedup.keep_one_per_group(docs_of(spark, texts)).collect()}
+    assert kept() == slow_near(dict(enumerate(texts))) == {0, 4}
+    monkeypatch.setattr(simhash_dedup, "NEAR_RADIUS", -1)
+    assert kept() == set(range(len(texts)))
+
+
+@pytest.mark.parametrize("few", [32, 1000])
+def test_near_copies_in_many_trees(spark, monkeypatch, few):
+    for name, value in (("FEW", few), ("STAR_TEXTS", 3), ("TREE_TEXTS", 4), ("TREES_AT_ONCE", 5)):
+        monkeypatch.setattr(simhash_dedup, name, value)
+    texts = changed_words((12, 80, 200), (0, 1, 1, 2, 3, 4, 4, 5, 6, 8, 9, 10))
+    assert {r["doc_id"] for r in simhash_dedup.keep_one_per_group(docs_of(spark, texts)).collect()} == slow_near(dict(enumerate(texts)))
+
+
+@pytest.mark.parametrize("radius", [-1, 0, 2, 10, 31, 64])
+def test_near_pairs(radius):
+    rng = np.random.default_rng(5)
+    fp = rng.choice(np.r_[rng.integers(-(1 << 63), 1 << 63, 12), -1, -2, 0, 1, 3], 90)
+    tree, size, asks = np.sort(rng.integers(0, 4, 90)), rng.integers(0, 6, 90), rng.random(90) < 0.6
+    q, n = simhash_dedup.near_pairs(tree, fp, size, asks, radius)
+    bits = lambda i, j: ((int(fp[i]) ^ int(fp[j])) & (1 << 64) - 1).bit_count()
+    fits = lambda i, j: min(size[i], size[j]) >= 0.8 * max(size[i], size[j])
+    want = [(i, j) for i in range(90) if asks[i] for j in range(i) if tree[i] == tree[j] and bits(i, j) <= radius and fits(i, j)]
+    assert sorted(zip(q.tolist(), n.tolist(), strict=True)) == want
+
+
 def test_least_row_of_a_repeated_id_stays(spark):
     rows = [(1, "b b b", "en", "s", 5), (1, "a a a", "en", "s", 5), (1, "a a a", "en", "s", 5), (2, "c", "en", None, 1), (None, "c", "en", "s", 1), (None, "c", "en", "s", 1)]
     kept = sorted(map(tuple, simhash_dedup.keep_one_per_group(spark.createDataFrame(rows, DOCS)).collect()), key=str)
