@@ -10,10 +10,10 @@ first bucket of the suffixes that start near it:
 2. Anchors whose whole surroundings (all windows that chose them) are equal in
    two places are finished too: all those windows repeat.
 3. A bucket of more than WIDEST classes of surroundings is split, not gathered:
-   its windows are halved by how far they start before the anchor. All windows
-   of a half share more bytes than the anchor, and the hash of these is the next
-   bucket. Halves that are still too wide are halved again; after eight halvings
-   a bucket is one string, so no task ever holds a wide one.
+   its windows are quartered by how far they start before the anchor. All windows
+   of a quarter share more bytes than the anchor, and the hash of these is the
+   next bucket. Quarters that are still too wide are quartered again; after four
+   times a bucket is one string, so no task ever holds a wide one.
 4. The other buckets are refined with their bytes in one task each, by bucket
    pointers (see refine), and strings are compared as bytes.
 """
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,22 +47,26 @@ SIGNS = _rng.integers(1, 1 << 63, (2, 256), np.uint64)
 BASES = [int(x) | 5 for x in _rng.integers(1 << 40, 1 << 62, 2)]
 
 
-@lru_cache(2)
-def _powers(which: int) -> tuple[np.ndarray, np.ndarray]:
-    size, base = SEGMENT + LENGTH + 1, BASES[which]
-    both = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        x = np.full(size, b, np.uint64)
-        x[0] = 1
-        both.append(np.multiply.accumulate(x))
-    return both[0], both[1]
+_powers_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``size`` powers of a base and of its inverse. A worker holds as many as its longest text needed."""
+    if which not in _powers_of or len(_powers_of[which][0]) < size:
+        size, base, both = min(1 << size.bit_length(), SEGMENT + LENGTH + 1), BASES[which], []
+        for b in (base, pow(base, -1, 1 << 64)):
+            x = np.full(size, b, np.uint64)
+            x[0] = 1
+            both.append(np.multiply.accumulate(x))
+        _powers_of[which] = both[0], both[1]
+    return _powers_of[which]
 
 
 class Hashes:
     """Hashes of any substring of at most SEGMENT + LENGTH bytes, from running sums modulo 2^64."""
 
     def __init__(self, data: np.ndarray, which: int):
-        self.up, self.down = _powers(which)
+        self.up, self.down = _powers(which, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(SIGNS[which][data] * self.up[: len(data)], out=self.sums[1:])
 
@@ -272,11 +276,11 @@ def _refine_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield _refine_rows(held)
 
 
-def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of wide buckets to one row for each half of their windows.
+def _quarters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of wide buckets to one row for each quarter of their windows.
 
     ``nearest`` and ``farthest`` bound how far a bucket's windows start before the
-    anchor. The bytes that all windows of a half share name its bucket.
+    anchor. The bytes that all windows of a quarter share name its bucket.
     """
     names = ("gram", "around", "row", "place", "nearest", "farthest", "low", "high", "open", "bytes")
     types = (*[pa.int64()] * 3, *[pa.int32()] * 5, pa.bool_(), pa.binary())
@@ -284,8 +288,9 @@ def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, whole.num_rows, 1024):
             out: list[tuple] = []
             for r in whole.slice(at, 1024).to_pylist():
-                middle = (r["nearest"] + r["farthest"]) // 2
-                for near, far in ((r["nearest"], middle), (middle + 1, r["farthest"])):
+                step = (r["farthest"] - r["nearest"]) // 4 + 1
+                for near in range(r["nearest"], r["farthest"] + 1, step):
+                    far = min(near + step - 1, r["farthest"])
                     low, high = max(r["low"], r["place"] - far), min(r["high"], r["place"] - near)
                     if low > high:
                         continue
@@ -317,12 +322,12 @@ def repeated_spans(packed: DataFrame, scratch: Scratch) -> DataFrame:
     seen = scratch.keep(packed.mapInArrow(_anchor_rows, "gram long, around long, row long, lead short, low int, high int"), "anchors")
     counts = seen.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b"))
     # Counts are written before they are joined: a join whose sides are plain shuffles can split a bucket that holds very many rows.
-    buckets = scratch.keep(counts.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed")), "buckets")
+    buckets = scratch.keep(counts.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed")), "buckets", seen.count() // 2)
     shared = scratch.keep(seen.join(buckets, "gram"), "shared")
     scratch.drop(seen, buckets)
     mixed = shared.where("mixed").drop("mixed")
     classes = scratch.keep(mixed.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min("row").alias("first")), "members")
-    wide = scratch.keep(classes.groupBy("gram").agg((F.count("*") > WIDEST).alias("wide")), "wide")
+    wide = scratch.keep(classes.groupBy("gram").agg((F.count("*") > WIDEST).alias("wide")), "wide", classes.count())
     placed = scratch.keep(mixed.join(classes.join(wide, "gram"), ["gram", "around"]), "classes")
     span = lambda df: df.select("row", F.col("low").cast("long").alias("start"), (F.col("high") + LENGTH).cast("long").alias("end"))
     found = [span(shared.where("not mixed")), span(placed.where("n > 1"))]
@@ -341,14 +346,15 @@ def repeated_spans(packed: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _split_wide(rows: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Wide buckets halved until none is wide: rows whose windows all repeat, and rows of narrow buckets."""
+    """Wide buckets quartered until none is wide: rows whose windows all repeat, and rows of narrow buckets."""
     whole, narrow = [], []
     while True:
-        halves = scratch.keep(rows.mapInArrow(_halves, "gram long, around long, row long, place int, nearest int, farthest int, low int, high int, open boolean, bytes binary"), "halves")
-        classes = scratch.keep(halves.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("row", "low")).alias("first")), "members")
-        sizes = scratch.keep(classes.groupBy("gram").agg(F.count("*").alias("k")), "sizes")
-        placed = scratch.keep(halves.join(classes.join(sizes, "gram"), ["gram", "around"]), "classes")
-        scratch.drop(halves, classes)
+        quarters = scratch.keep(rows.mapInArrow(_quarters, "gram long, around long, row long, place int, nearest int, farthest int, low int, high int, open boolean, bytes binary"), "quarters")
+        most = quarters.count()
+        classes = scratch.keep(quarters.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("row", "low")).alias("first")), "members", most)
+        sizes = scratch.keep(classes.groupBy("gram").agg(F.count("*").alias("k")), "sizes", most)
+        placed = scratch.keep(quarters.join(classes.join(sizes, "gram"), ["gram", "around"]), "classes", most)
+        scratch.drop(quarters, classes)
         whole.append(placed.where("n > 1 and open"))
         kept = placed.where((F.col("n") == 1) | (F.struct("row", "low") == F.col("first"))).withColumn("open", F.col("open") & (F.col("n") == 1))
         narrow.append(kept.where(F.col("k").between(2, WIDEST)))

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+FILE_ROWS = 1 << 16
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -30,8 +31,9 @@ def scratch_root(spark: SparkSession) -> str:
 class Scratch:
     """Writes tables under one folder of its own and reads them back.
 
-    ``keep`` materialises a frame once as Parquet; ``drop`` removes a table that
-    no later step reads. Tables that a returned frame still reads stay until the
+    ``keep`` materialises a frame once as Parquet; where a bound ``most`` of its
+    rows is known, in no more files than one for each FILE_ROWS of them, as many
+    partitions may hold few rows. ``drop`` removes a table that no later step reads. Tables that a returned frame still reads stay until the
     owner of the shared folder cleans it.
     """
 
@@ -40,10 +42,11 @@ class Scratch:
         self.root = f"{scratch_root(spark)}/quillgraph-{what}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "t", most: int | None = None) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
+        written = df if most is None else df.coalesce(max(1, -(-most // FILE_ROWS)))
+        written.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quillgraph_path = path
         return out

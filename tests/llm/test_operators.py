@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -382,6 +385,12 @@ def test_passages_in_segments_of_long_texts(monkeypatch):
     assert covered(whole) == covered(parts) == list(range(len(text) - 199))
 
 
+def test_anchors_of_short_texts_take_little_memory():
+    code = "import tracemalloc; from quillgraph.llm import passages; tracemalloc.start(); passages.anchors(bytes(range(256)) * 8); print(tracemalloc.get_traced_memory()[1])"
+    top = str(Path(passages.__file__).resolve().parents[2])
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=top, capture_output=True, text=True, check=True).stdout) < 1 << 20
+
+
 def test_cut_keeps_columns_and_nulls(spark):
     texts = [None, "é" * 150, "é" * 150, "short"]
     out = passages.cut_passages(docs_of(spark, texts).withColumn("packed", F.lit(7)))
@@ -390,6 +399,29 @@ def test_cut_keeps_columns_and_nulls(spark):
     assert passages.cut_passages(docs_of(spark, ["a"]).where("false")).count() == 0
 
 
+def test_wide_buckets_in_few_tables_and_files(spark, monkeypatch):
+    monkeypatch.setattr(passages, "WIDEST", 2)
+    written, keep = [], scratch.Scratch.keep
+
+    def counted(self, df, name="t", *most):
+        out = keep(self, df, name, *most)
+        written.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(scratch.Scratch, "keep", counted)
+    key, texts = "spark.sql.adaptive.coalescePartitions.enabled", passage_texts()
+    spark.conf.set(key, "false")
+    try:
+        rows = {r[0]: tuple(r)[1:] for r in passages.removal_report(docs_of(spark, texts)).collect()}
+    finally:
+        spark.conf.unset(key)
+    assert [rows[i] for i in range(len(texts))] == slow_passages(texts)
+    names = [name for name, _ in written]
+    rounds = written[names.index("bytes") + 1 : names.index("spans")]
+    assert 4 < len(rounds) <= 16
+    assert all(files == 1 for name, files in [*rounds, *written] if name in ("buckets", "wide", "sizes"))
+
+
 def test_passages_query(spark, sf_dir):
     own = texts_of(spark, sf_dir)
     rows = {r[0]: tuple(r)[1:] for r in queries.QUERIES["op7_suffix"](spark, sf_dir).collect()}
