@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import chat, decontamination, html_template, langid, media, passages, pipeline_stages, simhash_dedup, toxicity, urls
 from quillgraph.llm.scratch import Scratch, table
-from quillgraph.sources.session import ship_package
+from quillgraph.sources.session import bound_batches, ship_package
 
 
 def shipped(f: Callable) -> Callable:
-    """f(spark, ...) after executors have been given this package."""
+    """f(spark, ...) after executors have been given this package, with bounded batches."""
 
     @wraps(f)
     def run(spark: SparkSession, *args: object) -> DataFrame:
         ship_package(spark)
+        bound_batches(spark)
         return f(spark, *args)
 
     return run

@@ -8,11 +8,12 @@ from collections import Counter
 from itertools import combinations
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import DOCS
 
-from quillgraph.llm import decontamination, passages, pipeline_stages, simhash_dedup
+from quillgraph.llm import decontamination, passages, pipeline_stages, queries, simhash_dedup
 
 
 @pytest.fixture(scope="module")
@@ -121,3 +122,22 @@ def test_clashing_columns_pass_unchanged(spark, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert out.columns[: len(docs.columns)] == docs.columns or name == "mixing"
         assert {tuple(r) for r in out.select(*extra).collect()} == {want}
+
+
+def test_python_gets_bounded_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    spark.conf.unset(key)
+    try:
+        queries.shipped(lambda spark: None)(spark)
+        got = spark.range(2000).selectExpr("repeat('x', 10000) t").coalesce(1).mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r[0] for r in got) == 2000 and max(r[1] for r in got) < 3 << 20
+        spark.conf.set(key, "64k")
+        queries.shipped(lambda spark: None)(spark)
+        assert spark.conf.get(key) == "64k"
+    finally:
+        spark.conf.unset(key)
