@@ -320,15 +320,17 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def repeated_spans(packed: DataFrame, scratch: Scratch) -> DataFrame:
     """``(row, spans)`` for each text of ``(row, packed)`` with repeats: byte ranges, not yet merged."""
     seen = scratch.keep(packed.mapInArrow(_anchor_rows, "gram long, around long, row long, lead short, low int, high int"), "anchors")
+    most = seen.count()
     counts = seen.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b"))
     # Counts are written before they are joined: a join whose sides are plain shuffles can split a bucket that holds very many rows.
-    buckets = scratch.keep(counts.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed")), "buckets", seen.count() // 2)
-    shared = scratch.keep(seen.join(buckets, "gram"), "shared")
+    buckets = scratch.keep(counts.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed")), "buckets", most // 2)
+    shared = scratch.keep(seen.join(buckets, "gram"), "shared", most)
     scratch.drop(seen, buckets)
     mixed = shared.where("mixed").drop("mixed")
-    classes = scratch.keep(mixed.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min("row").alias("first")), "members")
+    most = shared.count()
+    classes = scratch.keep(mixed.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min("row").alias("first")), "members", most)
     wide = scratch.keep(classes.groupBy("gram").agg((F.count("*") > WIDEST).alias("wide")), "wide", classes.count())
-    placed = scratch.keep(mixed.join(classes.join(wide, "gram"), ["gram", "around"]), "classes")
+    placed = scratch.keep(mixed.join(classes.join(wide, "gram"), ["gram", "around"]), "classes", most)
     span = lambda df: df.select("row", F.col("low").cast("long").alias("start"), (F.col("high") + LENGTH).cast("long").alias("end"))
     found = [span(shared.where("not mixed")), span(placed.where("n > 1"))]
     wanted = placed.where("n = 1 or row = first").groupBy("row").agg(F.collect_list(F.struct("gram", "wide", "lead", "low", "high", (F.col("n") == 1).alias("open"))).alias("places"))
@@ -340,7 +342,7 @@ def repeated_spans(packed: DataFrame, scratch: Scratch) -> DataFrame:
         found, small = found + [span(df) for df in whole], small + narrow
     small = [df.select("gram", "row", "low", "high", "open", "bytes") for df in small]
     found.append(reduce(DataFrame.union, small).repartition("gram").sortWithinPartitions("gram").mapInArrow(_refine_buckets, "row long, start long, end long"))
-    spans = scratch.keep(reduce(DataFrame.union, found).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    spans = scratch.keep(reduce(DataFrame.union, found).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans", packed.count())
     scratch.drop(shared, classes, wide, placed, around)
     return spans
 
