@@ -33,7 +33,7 @@ class Scratch:
 
     ``keep`` materialises a frame once as Parquet; where a bound ``most`` of its
     rows is known, in no more files than one for each FILE_ROWS of them, as many
-    partitions may hold few rows. ``drop`` removes a table that no later step reads. Tables that a returned frame still reads stay until the
+    partitions may hold few rows (for rows of bounded size only). ``drop`` removes a table that no later step reads. Tables that a returned frame still reads stay until the
     owner of the shared folder cleans it.
     """
 
